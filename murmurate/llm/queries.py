@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, quality_rules
+from . import mixing, packing, quality_model, quality_rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -34,6 +34,28 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "removed_words")
 
 
+def quality_weights(spark: SparkSession, sf_dir: str, docs: DataFrame | None = None):
+    """Weights learned from the labelled documents that are not held out."""
+    docs = _read(spark, sf_dir, "documents") if docs is None else docs
+    return quality_model.fit(docs, _read(spark, sf_dir, "labels"), learn=quality_model.learnable(1, 3))
+
+
+@_query("op3_quality_classifier")
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The quality score of every whole text."""
+    docs = _read(spark, sf_dir, "documents")
+    found = quality_model.scored(docs.select("doc_id", "text"), quality_weights(spark, sf_dir))
+    return found.select("doc_id", quality_model.held_out(F.col("doc_id"), 1, 3).alias("held_out"), "score",
+                        (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+@_query("op6_packing")
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every piece of all documents with its place in a sequence of at most 1024 tokens."""
+    return packing.pack(_read(spark, sf_dir, "documents")).select(
+        "doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
 @_query("op10_mixing", mixing.SQL)
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents with what the mix takes of each."""
