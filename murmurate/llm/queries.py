@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, packing, quality_model, quality_rules
+from . import language, mixing, packing, quality_model, quality_rules, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -34,6 +34,16 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "removed_words")
 
 
+@_query("op2_language")
+def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The predicted language of every whole text."""
+    docs = _read(spark, sf_dir, "documents")
+    learned = language.learned_text(docs, learn=quality_model.learnable(2, 4))
+    found = language.identified(docs.select("doc_id", "text"), learned)
+    return found.select("doc_id", quality_model.held_out(F.col("doc_id"), 2, 4).alias("held_out"),
+                        F.col("found.lang").alias("lang_pred"), F.col("found.score").alias("score"))
+
+
 def quality_weights(spark: SparkSession, sf_dir: str, docs: DataFrame | None = None):
     """Weights learned from the labelled documents that are not held out."""
     docs = _read(spark, sf_dir, "documents") if docs is None else docs
@@ -49,6 +59,13 @@ def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
                         (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+@_query("op4_simhash")
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fingerprint and near-duplicate component of every whole text."""
+    found = simhash.components_of(_read(spark, sf_dir, "documents"))
+    return found.select("doc_id", simhash.hex_fingerprint(F.col("fp")).alias("fingerprint"), "component_id")
+
+
 @_query("op6_packing")
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every piece of all documents with its place in a sequence of at most 1024 tokens."""
