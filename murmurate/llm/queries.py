@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, mixing, packing, quality_model, quality_rules, simhash
+from . import language, mixing, nearest, packing, quality_model, quality_rules, simhash, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -66,6 +66,12 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hex_fingerprint(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+@_query("op5_url_filter")
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Host, path, rule and verdict of every page's URL."""
+    return url_filter.judged(_read(spark, sf_dir, "pages"), keep=("page_id",)).drop("score")
+
+
 @_query("op6_packing")
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every piece of all documents with its place in a sequence of at most 1024 tokens."""
@@ -73,6 +79,12 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+@_query("op7_nearest")
+def op7_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest others found for every vector whose id is divisible by 100."""
+    return nearest.search(_read(spark, sf_dir, "embeddings"), lambda key: key % 100 == 0)
+
+
 @_query("op10_mixing", mixing.SQL)
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents with what the mix takes of each."""
