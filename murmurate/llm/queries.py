@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, mixing, nearest, packing, quality_model, quality_rules, simhash, url_filter
+from . import language, mixing, nearest, packing, quality_model, quality_rules, revisits, scratch, sharding, simhash, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -85,6 +85,28 @@ def op7_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest.search(_read(spark, sf_dir, "embeddings"), lambda key: key % 100 == 0)
 
 
+@_query("op8_sharding", "SELECT doc_id, md5(coalesce(text, '')) AS text_md5, lang, source FROM documents")
+def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents, appended in two arrivals and compacted, as the newest manifest gives them back."""
+    store = sharding.ShardStore(spark, scratch.fresh_path(spark, "shards"))
+    docs = _read(spark, sf_dir, "documents")
+    early = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 != 0, F.lit(True))
+    store.append(docs.where(early))
+    store.append(docs.where(~early))
+    rows = store.read(store.compact())
+    return rows.select("doc_id", F.md5(F.coalesce("text", F.lit(""))).alias("text_md5"), "lang", "source")
+
+
+@_query("op9_revisits", revisits.SQL)
+def op9_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every revisit of the pages' capture records with the response it repeats and the merged headers."""
+    found = revisits.resolve(revisits.records_of_pages(_read(spark, sf_dir, "pages")))
+    head = lambda k: F.element_at("headers", k)
+    return found.select("record_id", "canonical", "status", "response_id", "response_time", head("etag").alias("etag"),
+                        head("content-type").alias("content_type"), head("content-length").alias("content_length"), head("date").alias("date"),
+                        F.size(F.coalesce(F.map_keys("headers"), F.array().cast("array<string>"))).alias("n_headers"))
+
+
 @_query("op10_mixing", mixing.SQL)
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents with what the mix takes of each."""
