@@ -20,3 +20,8 @@ def register(name: str, sql: str | None = None):
         return f
 
     return add
+
+
+def load() -> None:
+    """Import every module that registers queries."""
+    from murmurate.operators import changes, rollups  # noqa: F401
