@@ -5,7 +5,7 @@ or lower case, digits and each mark, runs as one), all hashed into ``buckets`` w
 share of the n-grams of its kind. A text's score is the logistic of a sparse dot product.
 
 Training takes at most ``sample`` labelled documents (a documented bound), the smallest by a hash of the id, so it
-costs the same at any size. Their hashed features, no texts, go to the driver. Scoring is one pass over the
+costs the same at any size. Their hashed features meet in one task, which returns the weights. Scoring is one pass over the
 whole texts with no shuffle; each task's memory holds one batch, the weights and a bounded cache of word hashes.
 
 Defined cases: null and empty texts get the score of the bias alone; labels that are null or of unlabelled
@@ -137,10 +137,17 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
             pairs = [merged(*features(t, buckets)) for t in b["text"]]
             yield pd.DataFrame({"doc_id": b["doc_id"], "y": b["y"], "at": [p[0].astype(np.int32) for p in pairs], "value": [p[1].astype(np.float32) for p in pairs]})
 
-    found = chosen.mapInPandas(hashed, "doc_id long, y int, at array<int>, value array<float>").toPandas()
-    found = found.assign(first=[zlib.crc32(np.asarray(a).tobytes()) for a in found["at"]]).sort_values(["doc_id", "y", "first"])
-    examples = [(np.asarray(a, np.int64), np.asarray(v, float), int(y)) for a, v, y in zip(found["at"], found["value"], found["y"], strict=True)]
-    return trained(examples, buckets, epochs)
+    def learned(batches):
+        held = []
+        for b in batches:
+            held += [(k, y, np.asarray(a, np.int32), np.asarray(v, np.float32)) for k, y, a, v in zip(b["doc_id"], b["y"], b["at"], b["value"], strict=True)]
+        held.sort(key=lambda x: (x[0], x[1], zlib.crc32(x[2].tobytes())))
+        weights = trained([(a, v, int(y)) for _, y, a, v in held], buckets, epochs)
+        yield pd.DataFrame({"weights": [weights.astype("<f8").tobytes()]})
+
+    found = chosen.mapInPandas(hashed, "doc_id long, y int, at array<int>, value array<float>")
+    rows = found.repartition(1).mapInPandas(learned, "weights binary").collect()  # one row, of the model's size
+    return np.frombuffer(bytes(rows[0]["weights"]), "<f8").copy() if rows else trained([], buckets, epochs)
 
 
 def scorer(weights: np.ndarray):
