@@ -38,8 +38,8 @@ from .scratch import stored
 
 CAPACITY = 1024
 END_ID = 2
-#: Pieces in a block whose ranks one task gives.
-BLOCK_ROWS = 50_000
+#: Pieces of one length in a block that is ranked together; a busy length has as many blocks as it needs.
+BLOCK_ROWS = 500
 CACHE_ENTRIES = 400_000
 
 _UNCERTAIN = re.compile(r"\s\s| \Z")
@@ -205,10 +205,10 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, documents: int | None = None
     spark = docs.sparkSession
     lengths = {r["length"]: r["n"] for r in held.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most `capacity` rows
     runs = plan(lengths, capacity, documents, attention, score=score)
-    blocks = max(1, -(-sum(lengths.values()) // block_rows))
+    blocks = F.lit([max(1, -(-lengths.get(k + 1, 0) // block_rows)) for k in range(capacity)])
 
     # Rank within a length: pieces of earlier blocks, then the place in the block.
-    held = held.withColumn("block", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(blocks)))
+    held = held.withColumn("block", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.get(blocks, F.col("length").cast("int") - 1)))
     counts = held.groupBy("length", "block").agg(F.count(F.lit(1)).alias("n"))
     carry = F.coalesce(F.sum("n").over(W.partitionBy("length").orderBy("block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     counts = counts.select(F.col("length").alias("c_length"), F.col("block").alias("c_block"), carry.alias("carry"))
