@@ -108,13 +108,14 @@ def frequent_lines(measured: DataFrame, max_documents: int) -> DataFrame:
         "host", "text_hash", "n_words", F.col("line.h").alias("h"), F.col("line.w").alias("w"))
     held = held.groupBy("host", "text_hash", "h").agg(F.max("w").alias("w"), F.max("n_words").alias("n_words"))
     often = held.groupBy("host", "h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > max_documents).select("host", "h")
-    held = stored(held.join(often, ["host", "h"]), "frequent-lines")
+    # Written, so that its size is known and a line that many documents hold can be split when it is joined.
+    held = stored(held.join(stored(often, "lines-often"), ["host", "h"]), "frequent-lines")
 
     family = held.groupBy("host", "text_hash").agg(
         F.when(2 * F.sum("w") < F.max("n_words"), F.col("text_hash")).otherwise(F.min("h")).alias("family"))
     counted = held.join(family, ["host", "text_hash"]).select("host", "h", "family").distinct()
     removed = counted.groupBy("host", "h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > max_documents).select("host", "h")
-    return held.join(removed, ["host", "h"]).groupBy("host", "text_hash").agg(
+    return held.join(stored(removed, "lines-removed"), ["host", "h"]).groupBy("host", "text_hash").agg(
         F.sum("w").alias("removed_words"), F.collect_list("h").alias("removed"))
 
 
