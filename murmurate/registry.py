@@ -24,4 +24,5 @@ def register(name: str, sql: str | None = None):
 
 def load() -> None:
     """Import every module that registers queries."""
-    from murmurate.operators import changes, evaluate, labels, rollups, sampling, sets  # noqa: F401
+    from murmurate.operators import captures, changes, evaluate, labels, rollups, sampling, sets, texts, vectors  # noqa: F401
+    from murmurate.streaming import sweeps  # noqa: F401
