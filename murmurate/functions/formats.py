@@ -34,7 +34,7 @@ def percent_range(rate: Column, low: Column, high: Column) -> Column:
 
 def decimal_cell(value: Column) -> Column:
     """Six places without closing zeros."""
-    return F.regexp_replace(F.format_string("%.6f", value), r"\.?0+$", "")
+    return F.when(value.isNotNull(), F.regexp_replace(F.format_string("%.6f", value), r"\.?0+$", ""))
 
 
 def hours(minutes: Column) -> Column:
