@@ -218,7 +218,8 @@ def components_of(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", s
     count = unique.count()
     roots = components(links(unique, count, distance, unit))
     named = unique.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    least = named.groupBy("root").agg(F.min("least").alias("component_id"))
+    # Written, so that a component with most of the fingerprints can be split when it is joined.
+    least = stored(named.groupBy("root").agg(F.min("least").alias("component_id")), "component-names")
     named = named.join(least, "root").select("fp", "component_id")
     return fps.join(named, "fp").select("doc_id", "fp", "component_id")
 
