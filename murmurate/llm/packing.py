@@ -34,13 +34,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .memo import Memo
 from .scratch import stored
 
 CAPACITY = 1024
 END_ID = 2
 #: Pieces of one length in a block that is ranked together; a busy length has as many blocks as it needs.
 BLOCK_ROWS = 500
-CACHE_ENTRIES = 400_000
+#: Entries in each generation of a worker's memo of stretches.
+CACHE_ENTRIES = 120_000
 
 _UNCERTAIN = re.compile(r"\s\s| \Z")
 
@@ -53,21 +55,6 @@ def as_bytes(ids: list[int]) -> bytes:
     return numbers.tobytes()
 
 
-class _Stretches(dict):
-    """Ids of stretches without blanks, each with a fixed lead before it; forgotten all at once when full."""
-
-    def __init__(self, encode, lead: str):
-        super().__init__()
-        self.encode, self.lead = encode, lead
-
-    def __missing__(self, stretch: str) -> bytes:
-        ids = as_bytes(self.encode(self.lead + stretch))
-        if len(self) >= CACHE_ENTRIES:
-            self.clear()
-        self[stretch] = ids
-        return ids
-
-
 class Encoder:
     """Token ids of whole texts as little-endian bytes, alike to the tokenizer file's own encoding."""
 
@@ -80,7 +67,8 @@ class Encoder:
         with open(ranks, "rb") as lines:
             table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         self.bpe = tiktoken.Encoding("byte-bpe", pat_str=pattern, mergeable_ranks=table, special_tokens={})
-        self.first, self.later = _Stretches(self.bpe.encode_ordinary, ""), _Stretches(self.bpe.encode_ordinary, " ")
+        plain = self.bpe.encode_ordinary
+        self.first, self.later = Memo(lambda s: as_bytes(plain(s)), CACHE_ENTRIES // 4), Memo(lambda s: as_bytes(plain(" " + s)), CACHE_ENTRIES)
 
     def encode(self, text: str) -> bytes:
         if any(s in text for s in self.special):

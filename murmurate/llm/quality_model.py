@@ -23,11 +23,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .memo import Memo
+
 BUCKETS = 1 << 18
 SAMPLE = 6000
 EPOCHS = 4
-CACHE_ENTRIES = 400_000
-#: Windows of a long text scored at a time.
+#: Entries in each generation of a worker's memo of word hashes.
+CACHE_ENTRIES = 120_000
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.0005, 0.001
 
 _SPLIT = re.compile(r"[\x20\x09-\x0D]+")
@@ -41,19 +43,13 @@ def shape(word: str) -> str:
     return _RUNS.sub(r"\1", out)
 
 
-class _Hashes(dict):
-    """A word's hash and its shape's hash in one number each way; forgotten all at once when full."""
-
-    def __missing__(self, word: str) -> int:
-        data, outline = word.encode("utf-8", "surrogatepass"), shape(word).encode("utf-8", "surrogatepass")
-        value = zlib.crc32(data) << 32 | zlib.crc32(b"#" + outline)
-        if len(self) >= CACHE_ENTRIES:
-            self.clear()
-        self[word] = value
-        return value
+def _hashes(word: str) -> int:
+    """A word's hash and its shape's hash in one number."""
+    data, outline = word.encode("utf-8", "surrogatepass"), shape(word).encode("utf-8", "surrogatepass")
+    return zlib.crc32(data) << 32 | zlib.crc32(b"#" + outline)
 
 
-_HASHES = _Hashes()
+_HASHES = Memo(_hashes, CACHE_ENTRIES)
 
 
 def features(text: str | None, buckets: int = BUCKETS) -> tuple[np.ndarray, np.ndarray]:
@@ -135,17 +131,17 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     def hashed(batches):
         for b in batches:
             pairs = [merged(*features(t, buckets)) for t in b["text"]]
-            yield pd.DataFrame({"doc_id": b["doc_id"], "y": b["y"], "at": [p[0].astype(np.int32) for p in pairs], "value": [p[1].astype(np.float32) for p in pairs]})
+            yield pd.DataFrame({"doc_id": b["doc_id"], "y": b["y"], "at": [p[0].astype("<i4").tobytes() for p in pairs], "value": [p[1].astype("<f4").tobytes() for p in pairs]})
 
     def learned(batches):
         held = []
         for b in batches:
-            held += [(k, y, np.asarray(a, np.int32), np.asarray(v, np.float32)) for k, y, a, v in zip(b["doc_id"], b["y"], b["at"], b["value"], strict=True)]
-        held.sort(key=lambda x: (x[0], x[1], zlib.crc32(x[2].tobytes())))
+            held += [(k, y, np.frombuffer(a, "<i4"), np.frombuffer(v, "<f4")) for k, y, a, v in zip(b["doc_id"], b["y"], b["at"], b["value"], strict=True)]
+        held.sort(key=lambda x: (x[0], x[1], zlib.crc32(x[2])))
         weights = trained([(a, v, int(y)) for _, y, a, v in held], buckets, epochs)
         yield pd.DataFrame({"weights": [weights.astype("<f8").tobytes()]})
 
-    found = chosen.mapInPandas(hashed, "doc_id long, y int, at array<int>, value array<float>")
+    found = chosen.mapInPandas(hashed, "doc_id long, y int, at binary, value binary")
     rows = found.repartition(1).mapInPandas(learned, "weights binary").collect()  # one row, of the model's size
     return np.frombuffer(bytes(rows[0]["weights"]), "<f8").copy() if rows else trained([], buckets, epochs)
 
