@@ -11,8 +11,8 @@ list of runs (length, first rank, bin, offset); pieces are ranked within their l
 documents and looked up in the plan. No bin is a group that some task has to hold, and copies of one length are
 spread over all tasks. The plan's size depends on the capacities, not on the number of rows.
 
-Tokens come from the byte-level BPE vocabulary; white space is cut first where no token can reach across it, and
-the ids of a stretch between blanks are kept in a bounded cache. Texts where that cut isn't certain are encoded whole.
+Tokens come from the byte-level BPE vocabulary, whole texts at a time: by its ranks, which is faster, or by the
+tokenizer file itself where a text holds the string of a special token, which the file reads as that token.
 
 Defined cases: null text is empty, one piece of the end id alone; repeated rows and null ids are packed like any
 other row; an empty table gives an empty result; other columns are ignored.
@@ -21,7 +21,6 @@ other row; an empty table gives an empty result; other columns are ignored.
 from __future__ import annotations
 
 import base64
-import re
 import sys
 import zlib
 from array import array
@@ -34,17 +33,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .memo import Memo
 from .scratch import stored
 
 CAPACITY = 1024
 END_ID = 2
 #: Pieces of one length in a block that is ranked together; a busy length has as many blocks as it needs.
 BLOCK_ROWS = 500
-#: Entries in each generation of a worker's memo of stretches.
-CACHE_ENTRIES = 120_000
-
-_UNCERTAIN = re.compile(r"\s\s| \Z")
 
 
 def as_bytes(ids: list[int]) -> bytes:
@@ -67,20 +61,11 @@ class Encoder:
         with open(ranks, "rb") as lines:
             table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         self.bpe = tiktoken.Encoding("byte-bpe", pat_str=pattern, mergeable_ranks=table, special_tokens={})
-        plain = self.bpe.encode_ordinary
-        self.first, self.later = Memo(lambda s: as_bytes(plain(s)), CACHE_ENTRIES // 4), Memo(lambda s: as_bytes(plain(" " + s)), CACHE_ENTRIES)
 
     def encode(self, text: str) -> bytes:
         if any(s in text for s in self.special):
             return as_bytes(self.whole.encode(text, add_special_tokens=False).ids)
-        if _UNCERTAIN.search(text):
-            return as_bytes(self.bpe.encode_ordinary(text))
-        # A lone blank always starts the token of what follows it; a lone line feed is a token of its own.
-        first, later, lines = self.first, self.later, []
-        for line in text.split("\n"):
-            head, *rest = line.split(" ")
-            lines.append((first[head] if head else b"") + b"".join([later[x] for x in rest]))
-        return first["\n"].join(lines)
+        return as_bytes(self.bpe.encode_ordinary(text))
 
 
 @lru_cache(maxsize=2)

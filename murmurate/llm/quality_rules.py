@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .scratch import stored
-from .words import GAPS, WORD, ascii_lower, md5_long, own_name, text_or_empty, words_of
+from .words import GAPS, WORD, ascii_lower, md5_long, own_name, text_or_empty
 
 MAX_DOCUMENTS = 20
 LEAST_KEPT = 0.3
@@ -57,9 +57,12 @@ def _repeated(df: DataFrame) -> DataFrame:
         lambda i: F.call_function("shiftleft", _window_hash(hashes, i), F.col("bits")).bitwiseOR(i.cast("long")))
     df = df.withColumn("packed", F.when(n >= 4, F.sort_array(packed)).otherwise(few))
     s = F.col("packed")
-    alike = lambda x, y: F.call_function("shiftright", x, F.col("bits")) == F.call_function("shiftright", y, F.col("bits"))
-    near = F.filter(s, lambda x, k: F.coalesce(alike(x, F.get(s, k - 1)), F.lit(False)) | F.coalesce(alike(x, F.get(s, k + 1)), F.lit(False)))
-    df = df.withColumn("near", F.transform(near, lambda x: x.bitwiseAND(mask).cast("int")))
+    # Places whose window hash, as far as it was kept, is that of the next one in order; both are looked at again.
+    alike = lambda k: F.call_function("shiftright", F.get(s, k).bitwiseXOR(F.get(s, k + 1)), F.col("bits")) == 0
+    pairs = F.when(F.size(s) > 1, F.filter(F.sequence(F.lit(0), F.size(s) - 2), alike)).otherwise(F.array().cast("array<int>"))
+    df = df.withColumn("pairs", pairs)
+    both = F.concat(F.transform("pairs", lambda k: F.get(s, k)), F.transform("pairs", lambda k: F.get(s, k + 1)))
+    df = df.withColumn("near", F.transform(F.array_distinct(both), lambda x: x.bitwiseAND(mask).cast("int")))
     exact = F.sort_array(F.transform(F.col("near"), lambda i: F.struct(_window_hash(hashes, i).alias("h"), i.alias("i"))))
     df = df.withColumn("exact", exact)
     e = F.col("exact")
@@ -83,7 +86,7 @@ def _measured(docs: DataFrame, doc_id: str, text: str, host: str) -> DataFrame:
     t = text_or_empty(F.col(text))
     df = docs.select(
         F.col(doc_id).alias("doc_id"), F.coalesce(F.concat(F.lit("="), F.col(host)), F.lit("")).alias("host"),
-        t.alias("t"), words_of(F.col(text)).alias("words"),
+        t.alias("t"), F.array_remove(F.split(t, GAPS), "").alias("words"),
         F.filter(F.split(t, "\n"), lambda x: x.rlike(WORD)).alias("lines"))
     hashed = F.sort_array(F.transform(
         F.col("lines"), lambda x: F.struct(md5_long(normalised_line(x)).alias("h"), F.regexp_count(x, F.lit(WORD)).alias("w"))))
