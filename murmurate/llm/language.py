@@ -8,8 +8,8 @@ Texts are parsed whole, in segments of at most ``SEGMENT`` letters that start af
 advance together through one transition table; nothing is skipped. A missing transition restarts a phrase, which
 the table holds too, so a step is one look-up for each language.
 
-Scale: learning takes a bounded sample (``DOCUMENTS`` documents and ``LETTERS`` letters a language), cut on the
-map side by the rank of a hash, so a language with most of the rows is no hot task. Labelled text goes to the
+Scale: learning takes a bounded sample (``DOCUMENTS`` documents and ``LETTERS`` letters of each of the ``LANGUAGES``
+commonest languages), cut on the map side by the rank of a hash, so a language with most of the rows is no hot task. Labelled text goes to the
 workers, which build the tables once. Prediction is one pass over the documents with no shuffle.
 
 Defined cases: null text and text without a letter get ``und`` and score 0; rows without a language teach nothing;
@@ -19,6 +19,7 @@ without any labelled row all get ``und``; ties go to the language first by code
 from __future__ import annotations
 
 import unicodedata
+from collections import Counter
 from functools import lru_cache
 
 import numpy as np
@@ -30,6 +31,8 @@ from pyspark.sql import functions as F
 DOCUMENTS = 60
 LETTERS = 30_000
 SEGMENT = 256
+#: Bounds of a worker's tables: languages (the commonest), letters of the alphabet (the commonest), and cells in all.
+LANGUAGES, ALPHABET, CELLS = 64, 250, 40_000_000
 #: Classes of characters: 0 for all that is no letter, 1 for letters that no labelled text has.
 OTHER, UNKNOWN = 0, 1
 
@@ -86,7 +89,8 @@ class Model:
 
     def __init__(self, learned: tuple[tuple[str, str], ...]):
         self.names = [name for name, _ in learned]
-        alphabet = sorted({c for _, text in learned for c in text if is_letter(c)})
+        seen = Counter(c for _, text in learned for c in text.lower() if is_letter(c))
+        alphabet = sorted(c for c, _ in sorted(seen.items(), key=lambda x: (-x[1], x[0]))[:ALPHABET])
         self.width = 2 + len(alphabet)
         codes = {c: k + 2 for k, c in enumerate(alphabet)}
         # One table for all of Unicode: letters are looked up once here, not a character.
@@ -94,6 +98,9 @@ class Model:
         self.unset = np.iinfo(self.classes.dtype).max
         for c, k in codes.items():
             self.classes[ord(c)] = k
+        # An automaton has at most two states a letter: many languages learn from less text each.
+        most = max(200, CELLS // max(1, 2 * self.width * len(learned)))
+        learned = tuple((name, text[:most]) for name, text in learned)
         tables, self.base, at = [], [], 0
         self.size = np.array([max(2, len(text)) for _, text in learned], dtype=float)
         for _, text in learned:
@@ -151,6 +158,9 @@ def learned_text(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", la
     rows = rows.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
     if learn is not None:
         rows = rows.where(learn(F.col("doc_id")))
+    marked = docs.select(F.col(lang).alias("lang")).where(F.col("lang").isNotNull())
+    common = marked.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES)
+    rows = rows.join(F.broadcast(common.select("lang")), "lang", "left_semi")
     draw = F.md5(F.concat(F.lit("lang:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
     # Texts that would be most of the sample alone come last, so that no one document is all that is learned.
     most = max(1, letters // 4)

@@ -81,6 +81,16 @@ def test_language_edges(spark):
     assert [n for n, _ in language.learned_text(df, learn=lambda key: key > 3)] == ["a", "b", "c"]
 
 
+def test_language_bounds(spark, monkeypatch):
+    monkeypatch.setattr(language, "CELLS", 30_000)
+    monkeypatch.setattr(language, "ALPHABET", 5)
+    model = language.Model(tuple((f"l{k}", chr(97 + k) * 3000 + "xyz" * 3000) for k in range(10)))
+    assert model.width == 7 and len(model.moves) <= 10 * 2 * 7 * 300
+    monkeypatch.setattr(language, "LANGUAGES", 2)
+    df = spark.createDataFrame([(n, "some words", f"l{n % 5 % 3}") for n in range(50)], "doc_id long, text string, lang string")
+    assert [n for n, _ in language.learned_text(df)] == ["l0", "l1"]
+
+
 def test_quality_accuracy(spark):
     sf = "/root/testdata/sf0.1"
     labels = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
