@@ -66,7 +66,7 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hex_fingerprint(F.col("fp")).alias("fingerprint"), "component_id")
 
 
-@_query("op5_url_filter")
+@_query("op5_url_filter", url_filter.SQL)
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Host, path, rule and verdict of every page's URL."""
     return url_filter.judged(_read(spark, sf_dir, "pages"), keep=("page_id",)).drop("score")

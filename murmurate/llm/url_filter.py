@@ -174,3 +174,38 @@ def allowed_pages(pages: DataFrame, url: str = "url", rules=RULES, model=None) -
     host, path = host_of(F.col(url)), path_of(F.col(url))
     fit = rule_for(host, path, rules)
     return pages.where(F.coalesce(fit["verdict"] == "allow", score_of(host, path, model) <= LEAST))
+
+
+def sql(labelled=LABELLED, rules=RULES) -> str:
+    """The query in SQL, with the training as a recursive table: a step is one row of coefficients."""
+    table = ", ".join(f"({k + 1}, '{u}', {y})" for k, (u, y) in enumerate(labelled))
+    rest = "CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END"
+    lower = f"translate(regexp_extract({rest}, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    grams_of = " || ".join(f"list_transform(range(1, greatest(1, length(whole) - {n - 2})), lambda i: CAST('0x' || substr(md5(substr(whole, i, {n})), 1, 8) AS BIGINT) % {BUCKETS})" for n in SIZES)
+    cases = " ".join(
+        f"WHEN (host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}') THEN '{v} {h}{p}'"
+        for v, h, p in sorted(rules, key=lambda r: (-len(r[1]) - len(r[2]), r[1], r[2])))
+    n = len(labelled)
+    return f"""
+WITH RECURSIVE lab(k, url, y) AS (VALUES {table}),
+lw AS (SELECT k, y, '^' || {lower} || regexp_extract({rest}, '^[^/?#]*([^?#]*)', 1) || '$' AS whole FROM lab),
+lg AS (SELECT k, y, {grams_of} AS g FROM lw),
+cells AS (SELECT k, b, count(*) / sqrt(any_value(n)) AS x FROM (SELECT k, len(g) AS n, unnest(g) AS b FROM lg) GROUP BY k, b),
+prod AS (SELECT l.k, r.k AS j, sum(l.x * r.x) AS p FROM cells l JOIN cells r ON l.b = r.b GROUP BY l.k, r.k),
+mat AS (SELECT list(ps ORDER BY k) AS m FROM (SELECT a.k, list(coalesce(p, 0.0::DOUBLE) ORDER BY b.k) AS ps FROM lab a CROSS JOIN lab b LEFT JOIN prod ON prod.k = a.k AND prod.j = b.k GROUP BY a.k)),
+ys AS (SELECT list(CAST(y AS DOUBLE) ORDER BY k) AS ys FROM lab),
+it(t, a, b) AS (
+  SELECT 0, list_transform(range(0, {n}), lambda i: 0.0::DOUBLE), 0.0::DOUBLE
+  UNION ALL
+  SELECT t + 1, list_transform(range(1, {n} + 1), lambda i: a[i] + {RATE}::DOUBLE * (s[i] / {n} - {DECAY}::DOUBLE * a[i])), b + {RATE}::DOUBLE * list_sum(s) / {n}
+  FROM (SELECT t, a, b, list_transform(range(1, {n} + 1), lambda i: ys[i] - 1 / (1 + exp(-(list_dot_product(m[i], a) + b)))) AS s FROM it, mat, ys WHERE t < {STEPS})),
+last AS (SELECT a, b FROM it WHERE t = {STEPS}),
+w AS (SELECT cells.b, sum(x * last.a[k]) AS w FROM cells, last GROUP BY cells.b),
+pg AS (SELECT page_id, host, path, '^' || host || path || '$' AS whole FROM (SELECT page_id, coalesce({lower}, '') AS host, coalesce(regexp_extract({rest}, '^[^/?#]*([^?#]*)', 1), '') AS path FROM pages)),
+gr AS (SELECT row_number() OVER () AS rid, page_id, host, path, {grams_of} AS g FROM pg),
+sc AS (SELECT rid, sum(w) AS total FROM (SELECT rid, unnest(g) AS b FROM gr) u LEFT JOIN w ON u.b = w.b GROUP BY rid),
+fin AS (SELECT page_id, host, path, CASE {cases} END AS fit, 1 / (1 + exp(-(coalesce(total, 0) / sqrt(greatest(len(g), 1)) + last.b))) AS score FROM gr LEFT JOIN sc USING (rid), last)
+SELECT page_id, host, path, split_part(fit, ' ', 2) AS rule, coalesce(split_part(fit, ' ', 1), CASE WHEN score > {LEAST}::DOUBLE THEN 'block' ELSE 'allow' END) AS verdict FROM fin"""
+
+
+SQL = sql()
