@@ -17,11 +17,11 @@ def same_sheet(a: Column, b: Column) -> Column:
 
 
 @register("sheet_difference", A.with_views("reviews", "claims", body="""--and
-g AS (SELECT game, list_sort(list_distinct(list(subject))) AS sheet FROM claims JOIN (SELECT review, game FROM reviews) USING (review) WHERE subject IS NOT NULL AND confidence >= 0.98::DOUBLE AND review % 20 = 0 GROUP BY game)
+g AS (SELECT game, list_sort(list_distinct(list(subject))) AS sheet FROM claims JOIN (SELECT review, game FROM reviews) USING (review) WHERE subject IS NOT NULL AND confidence >= 0.98::DOUBLE AND polarity = 'praise' AND also_polarity = 'complaint' GROUP BY game)
 SELECT a.game, b.game AS other, a.sheet = b.sheet AS same, len(list_filter(a.sheet, lambda x: NOT list_contains(b.sheet, x))) AS only_here, len(list_filter(b.sheet, lambda x: NOT list_contains(a.sheet, x))) AS only_there, len(list_intersect(a.sheet, b.sheet)) AS both FROM g a JOIN g b ON a.game < b.game"""))
 def sheet_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Subjects that one game's surest claims name and another's don't, for every pair of games."""
-    c = A.claims(spark, sf_dir).where((F.col("confidence") >= 0.98) & F.col("subject").isNotNull() & (F.col("review") % 20 == 0))
+    """Subjects that one game's surest praise names beside a complaint and another's doesn't, for every pair of games."""
+    c = A.claims(spark, sf_dir).where((F.col("confidence") >= 0.98) & F.col("subject").isNotNull() & (F.col("polarity") == "praise") & (F.col("also_polarity") == "complaint"))
     g = c.join(A.reviews(spark, sf_dir).select("review", "game"), "review").groupBy("game").agg(F.array_sort(F.collect_set("subject")).alias("sheet"))
     o = g.select(F.col("game").alias("other"), F.col("sheet").alias("theirs"))
     pairs = g.join(o, F.col("game") < F.col("other"))  # a row a game
