@@ -93,7 +93,7 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     early = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 != 0, F.lit(True))
     store.append(docs.where(early))
     store.append(docs.where(~early))
-    rows = store.read(store.compact())
+    rows = store.read(store.compact(), docs.schema)
     return rows.select("doc_id", F.md5(F.coalesce("text", F.lit(""))).alias("text_md5"), "lang", "source")
 
 

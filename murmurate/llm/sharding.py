@@ -14,7 +14,7 @@ until ``vacuum``.
 Scale: the plan works on the manifest, a short line a shard. Rounds of merges run side by side. Each row is
 rewritten once a tier, so the work grows with the logarithm of the size.
 
-Defined cases: empty arrivals add no shard but a version; null rows, repeated rows and any columns are kept as
+Defined cases: empty arrivals add no shard but a version, and an empty store reads as no rows; null rows, repeated rows and any columns are kept as
 they are; columns must agree with the store's.
 """
 
@@ -181,11 +181,13 @@ class ShardStore:
                         break
         return base
 
-    def read(self, manifest: Manifest | None = None) -> DataFrame:
-        """All rows of a version, the newest by default."""
+    def read(self, manifest: Manifest | None = None, schema=None) -> DataFrame:
+        """All rows of a version, the newest by default. An empty version has the columns of ``schema`` and no rows."""
         manifest = manifest or self.manifest()
         if not manifest.shards:
-            raise ValueError("the store is empty")
+            if schema is None:
+                raise ValueError("the store is empty, so its columns must be given")
+            return self.spark.createDataFrame([], schema)
         first = f"{self.root}/{manifest.shards[0].path}"
         schema = self.spark.read.parquet(first).schema
         return self.spark.read.schema(schema).parquet(*[f"{self.root}/{s.path}" for s in manifest.shards])
