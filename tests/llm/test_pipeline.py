@@ -82,3 +82,16 @@ def test_run_gives_the_last_stage(spark, staged):
     pieces = lambda df: sorted(tuple(r) for r in df.select("doc_id", "piece", "start", "length", "ids_crc32").collect())
     assert pieces(corpus_pipeline.run(spark, SF)) == pieces(staged[-1][2])
     assert corpus_pipeline.ORACLE_SQL is None
+
+
+def test_empty_and_odd_documents(spark, tmp_path):
+    schema = "doc_id long, text string, lang string, source string, n_chars long, size long, score double"
+    rows = [(1, "good words " * 60, "en", "a", 5, None, None), (1, "good words " * 60, "en", "a", 5, None, None), (None, None, None, None, None, None, None), (3, "", None, "b", 0, 1, 0.5),
+            (4, " ".join(f"w{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(200)), "fr", "b", 3, None, None)]
+    labels = spark.createDataFrame([(4, 1, 0), (3, 0, 0), (None, None, None)], "doc_id long, quality int, toxic int")
+    for name, held in (("empty", []), ("odd", rows)):
+        spark.createDataFrame(held, schema).write.parquet(str(tmp_path / name / "documents.parquet"))
+        labels.write.parquet(str(tmp_path / name / "labels.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path / "empty")).collect() == []
+    got = {r["doc_id"] for r in corpus_pipeline.run(spark, str(tmp_path / "odd")).collect()}
+    assert got <= {1, 3, 4} and 4 in got
