@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pytest
 
 from murmurate.llm import nearest
 
@@ -31,6 +32,22 @@ def test_recall_on_the_test_table(spark):
     assert len(got) == len(want)
 
 
+@pytest.mark.parametrize(("size", "every"), [("sf0.001", 1), ("sf0.01", 1), ("sf0.1", 5)])
+def test_recall_over_hundreds_of_queries(spark, size, every):
+    vectors = spark.read.parquet(f"/root/testdata/{size}/embeddings.parquet")
+    got = {(r["query_id"], r["vec_id"]) for r in nearest.search(vectors, lambda key: key % every == 0).collect()}
+    held = vectors.select("vec_id", "embedding").toPandas()
+    ids, x = held["vec_id"].to_numpy(), np.stack(held["embedding"].to_numpy()).astype(float)
+    want = set()
+    for n in np.flatnonzero(ids % every == 0):
+        far = np.linalg.norm(x - x[n], axis=1)
+        far[n] = np.inf
+        want |= {(ids[n], v) for v in ids[np.argsort(far)[:10]]}
+    assert len(want) >= 4000
+    recall = len(got & want) / len(want)
+    assert recall >= 0.95
+
+
 def test_crowded_buckets_are_cut(spark):
     rng = np.random.default_rng(2)
     base = rng.normal(size=8)
