@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from .components import components, joined
 from .scratch import stored
-from .words import own_name
+from .words import md5_long, own_name, text_or_empty
 
 SHINGLE = 4
 SEED = 42
@@ -66,14 +66,14 @@ def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> i
     return int(np.packbits(2 * counts > len(h), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
-    """(doc_id, fp): fingerprints as signed longs, one row a row of docs."""
+def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, seed: int = SEED, *also) -> DataFrame:
+    """(doc_id, fp, also): fingerprints as signed longs, one row a row of docs."""
 
     @F.pandas_udf("long")
     def fp(texts: pd.Series) -> pd.Series:
         return pd.Series(np.array([fingerprint(t, shingle, seed) for t in texts], np.uint64).view(np.int64))
 
-    return docs.select(F.col(doc_id).alias("doc_id"), fp(F.col(text)).alias("fp"))
+    return docs.select(F.col(doc_id).alias("doc_id"), fp(F.col(text)).alias("fp"), *also)
 
 
 def gray_rank(codes: np.ndarray) -> np.ndarray:
@@ -210,14 +210,19 @@ def links(unique: DataFrame, count: int, distance: int = DISTANCE, unit: int = U
     return dealt.mapInPandas(found, "a long, b long")
 
 
+def _rooted(fps: DataFrame, least, distance: int, unit: int) -> DataFrame:
+    """(fp, root, least): each distinct fingerprint with its component's root and the least of its documents."""
+    unique = stored(fps.groupBy("fp").agg(least.alias("least")), "fingerprints-distinct")
+    count = unique.count()
+    roots = components(links(unique, count, distance, unit))
+    return unique.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+
+
 def components_of(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE,
                   seed: int = SEED, distance: int = DISTANCE, unit: int = UNIT) -> DataFrame:
     """(doc_id, fp, component_id): the smallest id among the documents of linked fingerprints."""
     fps = stored(fingerprints(docs, doc_id, text, shingle, seed), "fingerprints")
-    unique = stored(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "fingerprints-distinct")
-    count = unique.count()
-    roots = components(links(unique, count, distance, unit))
-    named = unique.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    named = _rooted(fps, F.min("doc_id"), distance, unit)
     # Written, so that a component with most of the fingerprints can be split when it is joined.
     least = stored(named.groupBy("root").agg(F.min("least").alias("component_id")), "component-names")
     named = named.join(least, "root").select("fp", "component_id")
@@ -228,13 +233,25 @@ def hex_fingerprint(fp):
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-def deduplicated(docs: DataFrame, doc_id: str = "doc_id", **named) -> DataFrame:
-    """One document of each component, the one of smallest id, with the columns of docs.
+def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE,
+                 seed: int = SEED, distance: int = DISTANCE, unit: int = UNIT) -> DataFrame:
+    """One document of each component, with the columns of docs.
 
-    Rows without an id are kept only if their component has no id at all.
+    A document is an id and a text: the one of smallest id is kept and, of several texts of that id, the one of smallest
+    hash. Rows without an id are kept only if their component has no id at all, and then one row. Rows that repeat
+    both id and text are one document and stay as they are.
     """
-    found = components_of(docs, doc_id, **named)
-    at = own_name(docs.columns, "dedup_id")
-    gone = found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(at)).distinct()
-    left = docs.join(gone, docs[doc_id].eqNullSafe(F.col(at)), "left_anti")
-    return left
+    at, hashed = own_name(docs.columns, "dedup_id"), own_name(docs.columns, "dedup_hash")
+    mine = own_name(docs.columns, "dedup_own")
+    fps = stored(fingerprints(docs, doc_id, text, shingle, seed, md5_long(text_or_empty(F.col(text))).alias("text_hash")), "fingerprints")
+    first = F.struct(F.col("doc_id").isNull().alias("unnamed"), F.col("doc_id").alias("id"), F.col("text_hash").alias("hash"))
+    named = _rooted(fps, F.min(first), distance, unit)
+    least = stored(named.groupBy("root").agg(F.min("least").alias("kept")), "component-kept")
+    named = named.join(least, "root").select("fp", "kept")
+    other = ~(F.col("doc_id").eqNullSafe(F.col("kept.id")) & (F.col("text_hash") == F.col("kept.hash")))
+    gone = fps.join(named, "fp").where(other).select(F.col("doc_id").alias(at), F.col("text_hash").alias(hashed)).distinct()
+    own = docs.withColumn(mine, md5_long(text_or_empty(F.col(text))))
+    # Copies of one text without an id differ in nothing that orders them: any one stands for all.
+    own = own.where(F.col(doc_id).isNotNull()).unionByName(own.where(F.col(doc_id).isNull()).dropDuplicates([mine]))
+    same = F.col(doc_id).eqNullSafe(F.col(at)) & (F.col(mine) == F.col(hashed))
+    return own.join(gone, same, "left_anti").select(*docs.columns)

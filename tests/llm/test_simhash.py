@@ -114,6 +114,23 @@ def test_edges(spark):
     assert simhash.components_of(docs.limit(0)).collect() == []
 
 
+def kept(spark, rows):
+    docs = spark.createDataFrame(rows, "doc_id long, text string, dedup_id string")
+    return sorted((str(r["doc_id"]), r["text"][:3].lower(), r["dedup_id"]) for r in simhash.deduplicated(docs).collect())
+
+
+def test_documents_without_an_id(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in ("axe", "bay", "cod"))
+    rows = [(1, a, "x"), (None, a, "y"), (None, b, "z"), (None, c, "u"), (None, c, "u"), (None, "COD" + c[3:], "u")]
+    assert kept(spark, rows) == [("1", "axe", "x"), ("None", "bay", "z"), ("None", "cod", "u")]
+
+
+def test_an_id_with_two_texts(spark):
+    a, b = (" ".join(f"{x}{i}" for i in range(40)) for x in ("axe", "bay"))
+    assert kept(spark, [(1, a, "x"), (2, a, "y"), (2, b, "z")]) == [("1", "axe", "x"), ("2", "bay", "z")]
+    assert len(kept(spark, [(2, a, "y"), (2, a.upper(), "z")])) == 1
+
+
 def test_components_of_a_chain_and_a_hub(spark):
     edges = [(i, i + 1) for i in range(60)] + [(1000, 1000 + i) for i in range(1, 300)] + [(5000, 5000)]
     got = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
