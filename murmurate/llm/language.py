@@ -8,8 +8,8 @@ Texts are parsed whole, in segments of at most ``SEGMENT`` letters that start af
 advance together through one transition table; nothing is skipped. A missing transition restarts a phrase, which
 the table holds too, so a step is one look-up for each language.
 
-Scale: learning takes a bounded sample (``DOCUMENTS`` documents and ``LETTERS`` letters of each of the ``LANGUAGES``
-commonest languages), cut on the map side by the rank of a hash, so a language with most of the rows is no hot task. Labelled text goes to the
+Scale: learning takes a bounded sample (``DOCUMENTS`` documents and ``LETTERS`` letters of every language that has
+a row to learn from), cut on the map side by the rank of a hash, so a language with most of the rows is no hot task. Labelled text goes to the
 workers, which build the tables once. Prediction is one pass over the documents with no shuffle.
 
 Defined cases: null text and text without a letter get ``und`` and score 0; rows without a language teach nothing;
@@ -31,8 +31,9 @@ from pyspark.sql import functions as F
 DOCUMENTS = 60
 LETTERS = 30_000
 SEGMENT = 256
-#: Bounds of a worker's tables: languages (the commonest), letters of the alphabet (the commonest), and cells in all.
-LANGUAGES, ALPHABET, CELLS = 64, 250, 40_000_000
+#: Bounds of a worker's tables: letters of the alphabet (the commonest), and cells in all. Languages are bounded (to the commonest) only where a
+#: caller sets it; all that have a row to learn from are learned otherwise.
+LANGUAGES, ALPHABET, CELLS = None, 250, 40_000_000
 #: Classes of characters: 0 for all that is no letter, 1 for letters that no labelled text has.
 OTHER, UNKNOWN = 0, 1
 
@@ -158,16 +159,20 @@ def learned_text(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", la
     rows = rows.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
     if learn is not None:
         rows = rows.where(learn(F.col("doc_id")))
-    marked = docs.select(F.col(lang).alias("lang")).where(F.col("lang").isNotNull())
-    common = marked.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES)
-    rows = rows.join(F.broadcast(common.select("lang")), "lang", "left_semi")
+    if LANGUAGES is not None:
+        common = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES)
+        rows = rows.join(F.broadcast(common.select("lang")), "lang", "left_semi")
     draw = F.md5(F.concat(F.lit("lang:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
     # Texts that would be most of the sample alone come last, so that no one document is all that is learned.
     most = max(1, letters // 4)
     rows = rows.select("lang", "doc_id", draw.alias("draw"), (F.length("text") > most).alias("long"), F.substring("text", 1, letters).alias("text"))
     ranked = rows.withColumn("place", F.row_number().over(W.partitionBy("lang").orderBy("long", "draw", "doc_id", "text")))
+    ranked = ranked.where(F.col("place") <= documents)
+    # Texts that start past the letters of their language add nothing and are not sent.
+    before = F.sum(F.length("text")).over(W.partitionBy("lang").orderBy("place").rowsBetween(W.unboundedPreceding, -1))
+    ranked = ranked.withColumn("before", F.coalesce(before, F.lit(0))).where(F.col("before") < letters)
     found: dict[str, list[str]] = {}
-    for r in ranked.where(F.col("place") <= documents).orderBy("lang", "place").collect():  # at most `documents` a language
+    for r in ranked.select("lang", "place", "text").orderBy("lang", "place").collect():  # under twice `letters` a language
         found.setdefault(r["lang"], []).append(r["text"])
     return tuple((name, "\n".join(found[name])[:letters]) for name in sorted(found))
 

@@ -136,3 +136,17 @@ def test_quality_edges(spark):
     assert quality_model.scored(docs, weights, least=0.0).columns == docs.columns
     one = quality_model.fit(docs, labels.where("quality = 1"))
     assert all(r["score"] > 0.5 for r in quality_model.scored(docs.drop("score"), one).collect())
+
+
+def test_every_language_is_learned(spark):
+    rng = np.random.default_rng(8)
+    rows = []
+    for k in range(70):
+        words = ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 5)) for _ in range(20)]
+        rows += [(100 * k + n, " ".join(rng.choice(words, 60)), f"l{k:02d}") for n in range(3 if k < 66 else 2)]
+    rows += [(9000 + n, "never learned", "aa") for n in range(9)]  # marked, but held out
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    learned = language.learned_text(docs, learn=lambda key: (key < 9000) & (key % 100 != 0))
+    assert [name for name, _ in learned] == [f"l{k:02d}" for k in range(70)]
+    found = language.identified(docs.where("doc_id % 100 = 0 AND doc_id < 9000"), learned).collect()
+    assert len(found) == 70 and all(r["found"]["lang"] == r["lang"] for r in found)
