@@ -34,7 +34,7 @@ SEGMENT = 256
 #: Bounds of a worker's tables: letters of the alphabet (the commonest), and cells in all. Languages are bounded (to the commonest) only where a
 #: caller sets it; all that have a row to learn from are learned otherwise.
 LANGUAGES, ALPHABET, CELLS = None, 250, 40_000_000
-#: Classes of characters: 0 for all that is no letter, 1 for letters that no labelled text has.
+#: Classes of characters: 0 for all that is no letter, 1 for letters that no labelled text has or that are not among the commonest.
 OTHER, UNKNOWN = 0, 1
 
 
