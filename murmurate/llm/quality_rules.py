@@ -2,15 +2,12 @@
 
 Lines are normalised and hashed; a line that more than ``max_documents`` distinct documents of one host hold is
 taken out of them, and a document that keeps less than ``least_kept`` of its words is rejected as depleted.
-
-Distinct documents: equal texts of a host are one document. Near copies are not boilerplate either: a document
-most of whose words stand in frequent lines counts, for all of them, as one with every other such document that
-has the same smallest frequent line. So a large family of copies counts as a few documents and stays for
-deduplication, while a menu or notice that many otherwise different documents share is counted in full.
+Distinct documents are distinct texts: equal texts of a host count once, whatever else they share.
 
 Scale: the text is read once; its counts and line hashes are written to the shared folder. All else moves rows of
 hashes: line counts are summed on the map side, so a line that a third of all documents hold is no hot task, and
-only lines above the limit are joined. DataFrame functions only.
+only lines above the limit are joined. Both sides of each join are written or scanned, never a bare aggregate, so a
+hot line or text can be split. DataFrame functions only.
 
 Defined cases: null text has no words and fails the base rules; a null host is a host of its own; repeated rows
 get the same verdict; an empty table gives an empty result; other columns are ignored.
@@ -22,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .scratch import stored
-from .words import GAPS, WORD, ascii_lower, md5_long, own_name, text_or_empty, words_of
+from .words import GAPS, WORD, ascii_lower, md5_long, own_name, text_or_empty
 
 MAX_DOCUMENTS = 20
 LEAST_KEPT = 0.3
@@ -37,31 +34,39 @@ def normalised_line(line: Column) -> Column:
     return F.regexp_replace(F.trim(F.regexp_replace(ascii_lower(line), GAPS, " ")), "[0-9]+", "0")
 
 
-def _window_hash(hashes: Column, at: Column) -> Column:
-    return F.xxhash64(F.get(hashes, at), F.get(hashes, at + 1), F.get(hashes, at + 2))
+def normalised_lines(text: Column) -> Column:
+    """All lines of a text that hold a word, each as ``normalised_line`` gives it, in passes over the whole text."""
+    spaced = F.regexp_replace(ascii_lower(text), r"[\x20\x09\x0B-\x0D]+", " ")
+    return F.array_remove(F.transform(F.split(F.regexp_replace(spaced, "[0-9]+", "0"), "\n"), lambda x: F.trim(x)), "")
+
+
+def _windows(words: Column, n: Column) -> Column:
+    """The hash of every run of three words."""
+    count = F.greatest(n.cast("int") - 2, F.lit(0))
+    return F.transform(F.arrays_zip(*[F.slice(words, k, count) for k in (1, 2, 3)]), lambda z: F.xxhash64(z))
 
 
 def _repeated(df: DataFrame) -> DataFrame:
-    """Adds n_repeat_words to (hashes: array of word hashes, n_words).
+    """Adds n_repeat_words to (words, n_words), taking words away.
 
-    Window hashes are cut short to carry their place in the same long, so one primitive sort brings equal windows
-    together; the places found are then held against the whole 64 bits. Linear passes and a sort, for any length.
+    Texts whose windows are all distinct, which are most, end there. In others window hashes are cut short to carry their place in
+    the same long, so one primitive sort brings equal windows together; the places found are then held against the whole 64 bits.
+    Linear passes and a sort, for any length.
     """
+    df = df.withColumn("hashes", _windows(F.col("words"), F.col("n_words"))).drop("words")
     n, hashes = F.col("n_words"), F.col("hashes")
-    bits = F.when(n < (1 << SHORT_BITS), F.lit(SHORT_BITS)).otherwise(F.lit(LONG_BITS))
-    few = F.array().cast("array<bigint>")
-    df = df.withColumn("bits", bits)
-    mask = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("bits")) - 1
-    packed = F.transform(
-        F.sequence(F.lit(0), n.cast("int") - 3),
-        lambda i: F.call_function("shiftleft", _window_hash(hashes, i), F.col("bits")).bitwiseOR(i.cast("long")))
-    df = df.withColumn("packed", F.when(n >= 4, F.sort_array(packed)).otherwise(few))
+    df = df.withColumn("some", F.size(F.array_distinct(hashes)) < F.size(hashes))
+    df = df.withColumn("bits", F.when(n < (1 << SHORT_BITS), F.lit(SHORT_BITS)).otherwise(F.lit(LONG_BITS)))
+    bits = F.col("bits")
+    mask = F.call_function("shiftleft", F.lit(1).cast("long"), bits) - 1
+    packed = F.sort_array(F.transform(hashes, lambda x, i: F.call_function("shiftleft", x, bits).bitwiseOR(i.cast("long"))))
+    df = df.withColumn("packed", F.when(F.col("some"), packed).otherwise(F.array().cast("array<bigint>")))
     s = F.col("packed")
-    alike = lambda x, y: F.call_function("shiftright", x, F.col("bits")) == F.call_function("shiftright", y, F.col("bits"))
+    alike = lambda x, y: F.call_function("shiftright", x, bits) == F.call_function("shiftright", y, bits)
     near = F.filter(s, lambda x, k: F.coalesce(alike(x, F.get(s, k - 1)), F.lit(False)) | F.coalesce(alike(x, F.get(s, k + 1)), F.lit(False)))
     df = df.withColumn("near", F.transform(near, lambda x: x.bitwiseAND(mask).cast("int")))
-    exact = F.sort_array(F.transform(F.col("near"), lambda i: F.struct(_window_hash(hashes, i).alias("h"), i.alias("i"))))
-    df = df.withColumn("exact", exact)
+    exact = F.sort_array(F.transform(F.col("near"), lambda i: F.struct(F.get(hashes, i).alias("h"), i.alias("i"))))
+    df = df.withColumn("exact", exact).drop("hashes", "packed", "near")
     e = F.col("exact")
     places = F.filter(e, lambda x, k: F.coalesce(x["h"] == F.get(e, k - 1)["h"], F.lit(False)) | F.coalesce(x["h"] == F.get(e, k + 1)["h"], F.lit(False)))
     df = df.withColumn("places", F.sort_array(F.transform(places, lambda x: x["i"])))
@@ -79,21 +84,20 @@ def _line_runs(lines: Column) -> Column:
 
 
 def _measured(docs: DataFrame, doc_id: str, text: str, host: str) -> DataFrame:
-    """One pass over the text: the base counts, and (h, w, first place) of every distinct line."""
-    t = text_or_empty(F.col(text))
-    df = docs.select(
-        F.col(doc_id).alias("doc_id"), F.coalesce(F.concat(F.lit("="), F.col(host)), F.lit("")).alias("host"),
-        t.alias("t"), words_of(F.col(text)).alias("words"),
-        F.filter(F.split(t, "\n"), lambda x: x.rlike(WORD)).alias("lines"))
+    """One pass over the text: the base counts, and (h, w) of every distinct line."""
+    df = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.concat(F.lit("="), F.col(host)), F.lit("")).alias("host"), text_or_empty(F.col(text)).alias("t"))
+    t = F.col("t")
+    raw = F.filter(F.split(t, "\n"), lambda x: x.rlike(WORD))
+    df = df.select(
+        "doc_id", "host", md5_long(t).alias("text_hash"),
+        F.length(F.regexp_replace(t, GAPS, "")).cast("long").alias("word_chars"),
+        F.length(F.regexp_replace(t, r"[^#*$%&|<>]+", "")).cast("long").alias("n_symbols"),
+        raw.alias("raw"), normalised_lines(t).alias("lines"), F.array_remove(F.split(t, GAPS), "").alias("words"))
     hashed = F.sort_array(F.transform(
-        F.col("lines"), lambda x: F.struct(md5_long(normalised_line(x)).alias("h"), F.regexp_count(x, F.lit(WORD)).alias("w"))))
+        F.col("lines"), lambda x: F.struct(md5_long(x).alias("h"), (F.length(x) - F.length(F.replace(x, F.lit(" "), F.lit(""))) + 1).alias("w"))))
     df = df.select(
-        "doc_id", "host", md5_long(F.col("t")).alias("text_hash"),
-        F.size("words").cast("long").alias("n_words"),
-        F.length(F.regexp_replace("t", GAPS, "")).cast("long").alias("word_chars"),
-        F.length(F.regexp_replace("t", r"[^#*$%&|<>]+", "")).cast("long").alias("n_symbols"),
-        (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
-        F.transform("words", lambda w: F.xxhash64(w)).alias("hashes"), hashed.alias("hashed"))
+        "doc_id", "host", "text_hash", "word_chars", "n_symbols", F.size("words").cast("long").alias("n_words"), "words",
+        (F.size("raw") - F.size(F.array_distinct("raw"))).cast("long").alias("n_dup_lines"), hashed.alias("hashed"))
     df = _repeated(df)
     df = df.withColumn("starts", _line_runs(F.col("hashed")))
     s = F.col("starts")
@@ -104,19 +108,13 @@ def _measured(docs: DataFrame, doc_id: str, text: str, host: str) -> DataFrame:
 
 def frequent_lines(measured: DataFrame, max_documents: int) -> DataFrame:
     """(host, text_hash, removed_words, removed): of each distinct text, the words and hashes of its lines above the limit."""
-    held = measured.select("host", "text_hash", "n_words", F.explode("lines").alias("line")).select(
-        "host", "text_hash", "n_words", F.col("line.h").alias("h"), F.col("line.w").alias("w"))
-    held = held.groupBy("host", "text_hash", "h").agg(F.max("w").alias("w"), F.max("n_words").alias("n_words"))
+    held = measured.select("host", "text_hash", F.explode("lines").alias("line")).select("host", "text_hash", F.col("line.h").alias("h"), F.col("line.w").alias("w"))
+    held = held.groupBy("host", "text_hash", "h").agg(F.max("w").alias("w"))
     often = held.groupBy("host", "h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > max_documents).select("host", "h")
     # Written, so that its size is known and a line that many documents hold can be split when it is joined.
-    held = stored(held.join(stored(often, "lines-often"), ["host", "h"]), "frequent-lines")
-
-    family = held.groupBy("host", "text_hash").agg(
-        F.when(2 * F.sum("w") < F.max("n_words"), F.col("text_hash")).otherwise(F.min("h")).alias("family"))
-    counted = held.join(family, ["host", "text_hash"]).select("host", "h", "family").distinct()
-    removed = counted.groupBy("host", "h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > max_documents).select("host", "h")
-    return held.join(stored(removed, "lines-removed"), ["host", "h"]).groupBy("host", "text_hash").agg(
-        F.sum("w").alias("removed_words"), F.collect_list("h").alias("removed"))
+    often = stored(often, "lines-often")
+    removed = held.join(often, ["host", "h"]).groupBy("host", "text_hash").agg(F.sum("w").alias("removed_words"), F.collect_list("h").alias("removed"))
+    return stored(removed, "lines-removed")
 
 
 def judged(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", host: str = "source",
@@ -175,10 +173,7 @@ x AS (SELECT rid, host, t, n_words, regexp_replace(trim(regexp_replace(translate
 h AS (SELECT rid, host, t, n_words, CAST('0x' || substr(md5(norm), 1, 15) AS BIGINT) AS h, sum(lw) AS lw FROM x GROUP BY ALL),
 held AS (SELECT host, t, h, max(lw) AS lw, max(n_words) AS n_words FROM h GROUP BY host, t, h),
 often AS (SELECT host, h FROM held GROUP BY host, h HAVING count(*) > 20),
-hf AS (SELECT held.* FROM held JOIN often USING (host, h)),
-fam AS (SELECT host, t, CASE WHEN 2 * sum(lw) < max(n_words) THEN t ELSE CAST(min(h) AS VARCHAR) END AS family FROM hf GROUP BY host, t),
-rem AS (SELECT hf.host, h FROM hf JOIN fam ON hf.host = fam.host AND hf.t = fam.t GROUP BY hf.host, h HAVING count(DISTINCT family) > 20),
-rw AS (SELECT hf.host, t, sum(lw) AS removed FROM hf JOIN rem ON hf.host = rem.host AND hf.h = rem.h GROUP BY hf.host, t),
+rw AS (SELECT held.host, t, sum(lw) AS removed FROM held JOIN often ON held.host = often.host AND held.h = often.h GROUP BY held.host, t),
 o AS (SELECT b.*, coalesce(removed, 0) AS removed FROM b LEFT JOIN rw ON b.host = rw.host AND b.t = rw.t)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
        n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,

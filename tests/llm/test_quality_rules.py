@@ -53,16 +53,36 @@ def test_menus_go_and_copies_stay(spark):
     menu = "Home About Contact " + " ".join(f"link{letters(i)}" for i in range(30))
     rows = [(i, f"{prose(i)}\n{menu}", "h") for i in range(40)]  # originals that share a menu
     rows += [(100, f"{menu}\n{menu}\nonly a few words", "h")]  # little else
-    rows += [(200 + i, f"{prose(7000)}\n{prose(7001)}", "h") for i in range(60)]  # exact copies
-    rows += [(300 + i, f"{prose(8000)}\n{prose(8001)}\n{prose(8002)}\nedited {letters(i)}", "h") for i in range(60)]  # near copies
+    rows += [(200 + i, f"{prose(7000)}\n{prose(7001)}", "h") for i in range(60)]  # exact copies are one document
+    rows += [(300 + i, f"{prose(8000)}\n{prose(8001)}\nedited {letters(i)}", "h") for i in range(20)]  # as many near copies as the limit
     rows += [(400, f"{menu}\n{menu}\nonly a few words", "other")]  # the menu is rare on another host
     got = judged(spark, rows)
     assert all(got[i]["kept"] and got[i]["removed_words"] == 33 for i in range(40))
     assert got[100]["depleted"] and not got[100]["kept"]
-    assert all(got[200 + i]["kept"] and got[300 + i]["kept"] for i in range(60))
+    assert all(got[200 + i]["kept"] for i in range(60)) and all(got[300 + i]["kept"] for i in range(20))
     assert not got[400]["depleted"] and got[400]["removed_words"] == 0
 
 
+def test_a_host_of_thin_pages_is_depleted(spark):
+    menu = "\n".join(" ".join(f"m{letters(k)}x{letters(i)}" for i in range(10)) for k in range(6))
+    rows = [(i, f"{menu}\n{prose(i, 15)}", "h") for i in range(200)] + [(1000 + i, f"{menu}\n{prose(5000 + i, 70)}", "h") for i in range(5)]
+    rows += [(2000 + i, f"{menu}\n{prose(9000 + i, 15)}", "small") for i in range(20)]  # as many as the limit
+    got = judged(spark, rows)
+    assert all(got[i]["depleted"] and not got[i]["kept"] and got[i]["removed_words"] == 60 for i in range(200))
+    assert all(got[1000 + i]["kept"] and got[1000 + i]["removed_words"] == 60 for i in range(5))
+    assert all(got[2000 + i]["kept"] and got[2000 + i]["removed_words"] == 0 for i in range(20))
+
+
+def test_lines_are_normalised_alike(spark):
+    from pyspark.sql import functions as F
+
+    text = " A  b1 2\t\n\n \t \nX\x0b\x0cy 77\r\n12 34\nlast "
+    df = spark.createDataFrame([(text,), ("",), ("one",), ("\n a \n",)], "t string")
+    one = F.filter(F.transform(F.split("t", "\n"), quality_rules.normalised_line), lambda x: x != "")
+    rows = df.select(quality_rules.normalised_lines(F.col("t")).alias("whole"), one.alias("each")).collect()
+    assert all(r["whole"] == r["each"] for r in rows) and rows[0]["whole"] == ["a b0 0", "x y 0", "0 0", "last"]
+
+
 def test_documents_keep_their_columns(spark):
     rows = [(1, prose(1), None), (1, prose(1), None), (2, "few", "h"), (None, prose(3), "h"), (4, None, "h")]
     df = spark.createDataFrame([(i, t, s, "x", "y") for i, t, s in rows], SCHEMA)
