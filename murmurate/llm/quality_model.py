@@ -5,8 +5,9 @@ or lower case, digits and each mark, runs as one), all hashed into ``buckets`` w
 share of the n-grams of its kind. A text's score is the logistic of a sparse dot product.
 
 Training takes at most ``sample`` labelled documents (a documented bound), the smallest by a hash of the id, so it
-costs the same at any size. Their hashed features meet in one task, which returns the weights. Scoring is one pass over the
-whole texts with no shuffle; each task's memory holds one batch, the weights and a bounded cache of word hashes.
+costs the same at any size. Their hashed features are written once, in short pieces; one task then reads them in a fixed mixed order,
+epoch after epoch, as Spark sorts and spills them, and holds one example and the model. Scoring is one pass over the
+whole texts with no shuffle; each task's memory holds one batch, the weights and a bounded cache of hashes of short words.
 
 Defined cases: null and empty texts get the score of the bias alone; labels that are null or of unlabelled
 documents are left out; repeated labels of a document each count; without any label every score is 0.5; columns
@@ -20,26 +21,34 @@ import zlib
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .memo import Memo
+from .scratch import stored
 
 BUCKETS = 1 << 18
 SAMPLE = 6000
 EPOCHS = 4
 #: Entries in each generation of a worker's memo of word hashes.
 CACHE_ENTRIES = 120_000
+#: Longer words are hashed each time, so that the memo's bytes are bounded too.
+CACHED_WORD = 64
+#: Buckets of an example in a row of the training table.
+PIECE = 1024
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.0005, 0.001
+#: The bias where all labels are alike.
+CONFIDENT = 1.0
 
 _SPLIT = re.compile(r"[\x20\x09-\x0D]+")
 _RUNS = re.compile(r"(.)\1+")
-_PRIME = np.uint64(0x9E3779B97F4A7C15)
+PRIME = 0x9E3779B97F4A7C15
+_PRIME = np.uint64(PRIME)
 
 
 def shape(word: str) -> str:
     """A word's outline: A for capitals, a for other letters, 0 for digits, marks as they are; runs as one."""
-    out = "".join("A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c for c in word[:40])
+    out = "".join("A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c for c in word)
     return _RUNS.sub(r"\1", out)
 
 
@@ -57,7 +66,7 @@ def features(text: str | None, buckets: int = BUCKETS) -> tuple[np.ndarray, np.n
     words = [w for w in _SPLIT.split(text) if w] if text else []
     if not words:
         return np.zeros(0, np.int64), np.zeros(0)
-    both = np.fromiter((_HASHES[w] for w in words), np.uint64, len(words))
+    both = np.fromiter((_HASHES[w] if len(w) <= CACHED_WORD else _hashes(w) for w in words), np.uint64, len(words))
     parts = []
     for salt, one in enumerate((both >> np.uint64(32), both & np.uint64(0xFFFFFFFF))):
         one = one + np.uint64(salt << 33)
@@ -99,21 +108,12 @@ def logistic(x):
     return 1.0 / (1.0 + np.exp(-np.clip(x, -40.0, 40.0)))
 
 
-def trained(examples: list[tuple[np.ndarray, np.ndarray, int]], buckets: int = BUCKETS, epochs: int = EPOCHS) -> np.ndarray:
-    """Weights after some passes over the examples in a fixed mixed order; both labels weigh alike in sum."""
-    model, rng = Ftrl(buckets), np.random.default_rng(7)
-    counts = np.bincount([y for *_, y in examples], minlength=2)
-    if not examples or not counts.all():
-        model.z[:] = 0.0
-        if examples:  # one label only: the bias says it
-            model.z[-1] = -2.0 if counts[1] else 2.0
-        return model.weights()
-    weight = len(examples) / (2.0 * counts)
-    for _ in range(epochs):
-        for k in rng.permutation(len(examples)):
-            at, value, y = examples[k]
-            model.update(at, value, y, float(weight[y]))
-    return model.weights()
+def one_sided(counts: dict[int, int], buckets: int = BUCKETS) -> np.ndarray:
+    """The weights where a label is missing: the bias says which; 0 where both are."""
+    weights = np.zeros(buckets + 1)
+    if any(counts.values()):
+        weights[-1] = CONFIDENT if counts.get(1) else -CONFIDENT
+    return weights
 
 
 def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality",
@@ -128,22 +128,38 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     chosen = rows.join(halves[0].unionByName(halves[1]), F.col("doc_id") == F.col("l_id")).select("doc_id", "text", "y")
 
+    chosen = chosen.select(F.col("doc_id").cast("string").alias("key"), "text", "y", F.monotonically_increasing_id().alias("row"))
+
     def hashed(batches):
         for b in batches:
-            pairs = [merged(*features(t, buckets)) for t in b["text"]]
-            yield pd.DataFrame({"doc_id": b["doc_id"], "y": b["y"], "at": [p[0].astype("<i4").tobytes() for p in pairs], "value": [p[1].astype("<f4").tobytes() for p in pairs]})
+            for key, text_, y, row in zip(b["key"], b["text"], b["y"], b["row"], strict=True):
+                at, value = merged(*features(text_, buckets))
+                pieces = range(0, max(1, len(at)), PIECE)
+                yield pd.DataFrame({"key": key, "y": y, "row": row, "crc": zlib.crc32(at.astype("<i4").tobytes()), "part": range(len(pieces)), "parts": len(pieces),
+                                    "at": [at[k : k + PIECE].astype("<i4").tobytes() for k in pieces], "value": [value[k : k + PIECE].astype("<f4").tobytes() for k in pieces]})
+
+    found = stored(chosen.mapInPandas(hashed, "key string, y int, row long, crc long, part int, parts int, at binary, value binary"), "training-examples")
+    counts = {r["y"]: r["n"] for r in found.where("part = 0").groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}  # two rows at most
+    if len(counts) < 2:
+        return one_sided(counts, buckets)
+    # Both labels weigh alike in sum.
+    importance = {y: sum(counts.values()) / (2.0 * n) for y, n in counts.items()}
 
     def learned(batches):
-        held = []
+        model, held = Ftrl(buckets), []
         for b in batches:
-            held += [(k, y, np.frombuffer(a, "<i4"), np.frombuffer(v, "<f4")) for k, y, a, v in zip(b["doc_id"], b["y"], b["at"], b["value"], strict=True)]
-        held.sort(key=lambda x: (x[0], x[1], zlib.crc32(x[2])))
-        weights = trained([(a, v, int(y)) for _, y, a, v in held], buckets, epochs)
-        yield pd.DataFrame({"weights": [weights.astype("<f8").tobytes()]})
+            for y, part, parts, at, value in zip(b["y"], b["part"], b["parts"], b["at"], b["value"], strict=True):
+                held.append((np.frombuffer(at, "<i4"), np.frombuffer(value, "<f4")))
+                if part == parts - 1:
+                    model.update(np.concatenate([a for a, _ in held]), np.concatenate([v for _, v in held]), int(y), importance[int(y)])
+                    held = []
+        yield pd.DataFrame({"weights": [model.weights().astype("<f8").tobytes()]})
 
-    found = chosen.mapInPandas(hashed, "doc_id long, y int, at binary, value binary")
-    rows = found.repartition(1).mapInPandas(learned, "weights binary").collect()  # one row, of the model's size
-    return np.frombuffer(bytes(rows[0]["weights"]), "<f8").copy() if rows else trained([], buckets, epochs)
+    mixed = found.withColumn("epoch", F.explode(F.sequence(F.lit(1), F.lit(epochs)))).withColumn(
+        "draw", F.md5(F.concat_ws(":", "epoch", "key", "y", "crc")))
+    mixed = mixed.repartition(1).sortWithinPartitions("epoch", "draw", "row", "part").select("y", "part", "parts", "at", "value")
+    rows = mixed.mapInPandas(learned, "weights binary").collect()  # one row, of the model's size
+    return np.frombuffer(bytes(rows[0]["weights"]), "<f8").copy()
 
 
 def scorer(weights: np.ndarray):
@@ -157,17 +173,23 @@ def scorer(weights: np.ndarray):
     return score
 
 
+def score_of(spark: SparkSession, weights: np.ndarray, text: Column) -> Column:
+    """The score of a text column."""
+    sent = spark.sparkContext.broadcast(weights.astype(np.float32))
+
+    @F.pandas_udf("double")
+    def scores(texts: pd.Series) -> pd.Series:
+        score = scorer(sent.value.astype(np.float64))
+        return pd.Series([score(t) for t in texts], dtype=float)
+
+    return scores(text)
+
+
 def scored(docs: DataFrame, weights: np.ndarray, text: str = "text", name: str = "score", least: float | None = None) -> DataFrame:
     """docs with a score column; with ``least`` given, only rows that reach it and no new column."""
-    sent = docs.sparkSession.sparkContext.broadcast(weights.astype(np.float32))
-
     if least is None:
-        @F.pandas_udf("double")
-        def score_of(texts: pd.Series) -> pd.Series:
-            score = scorer(sent.value.astype(np.float64))
-            return pd.Series([score(t) for t in texts], dtype=float)
-
-        return docs.withColumn(name, score_of(F.col(text)))
+        return docs.withColumn(name, score_of(docs.sparkSession, weights, F.col(text)))
+    sent = docs.sparkSession.sparkContext.broadcast(weights.astype(np.float32))
 
     @F.pandas_udf("boolean")
     def reaches(texts: pd.Series) -> pd.Series:
