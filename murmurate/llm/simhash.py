@@ -238,8 +238,7 @@ def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sh
     """One document of each component, with the columns of docs.
 
     A document is an id and a text: the one of smallest id is kept and, of several texts of that id, the one of smallest
-    hash. Rows without an id are kept only if their component has no id at all, and then one row. Rows that repeat
-    both id and text are one document and stay as they are.
+    hash. Rows without an id are kept only if their component has no id at all. Of rows that repeat both id and text one stays.
     """
     at, hashed = own_name(docs.columns, "dedup_id"), own_name(docs.columns, "dedup_hash")
     mine = own_name(docs.columns, "dedup_own")
@@ -251,7 +250,9 @@ def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sh
     other = ~(F.col("doc_id").eqNullSafe(F.col("kept.id")) & (F.col("text_hash") == F.col("kept.hash")))
     gone = fps.join(named, "fp").where(other).select(F.col("doc_id").alias(at), F.col("text_hash").alias(hashed)).distinct()
     own = docs.withColumn(mine, md5_long(text_or_empty(F.col(text))))
-    # Copies of one text without an id differ in nothing that orders them: any one stands for all.
-    own = own.where(F.col(doc_id).isNotNull()).unionByName(own.where(F.col(doc_id).isNull()).dropDuplicates([mine]))
     same = F.col(doc_id).eqNullSafe(F.col(at)) & (F.col(mine) == F.col(hashed))
+    # Only rows that occur again are brought together; the rest keep their places.
+    again = stored(fps.groupBy("doc_id", "text_hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(
+        F.col("doc_id").alias(at), F.col("text_hash").alias(hashed)), "documents-again")
+    own = own.join(again, same, "left_anti").unionByName(own.join(again, same, "left_semi").dropDuplicates([doc_id, mine]))
     return own.join(gone, same, "left_anti").select(*docs.columns)
