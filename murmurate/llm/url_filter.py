@@ -6,16 +6,17 @@ decay runs on one coefficient a row, which is the same as on the weights, in one
 at most ``BUCKETS`` numbers, then stand as a literal in the scoring expression.
 
 Scale: judging a URL is a projection of its own row; no shuffle, no Python. The labelled table and the rules are
-parameters of bounded size (a few hundred rows) and do not grow with the pages.
+parameters of bounded size (``MOST_LABELLED`` rows; more are refused) and do not grow with the pages.
 
 Defined cases: a null URL or one without ``://`` has an empty host and path, fits no rule, and gets the model's
 verdict on the empty text; repeated rows get the same verdict; an empty table gives an empty result; without
-labelled URLs the model allows all; other columns are ignored.
+labelled URLs the model allows all; labelled rows without a URL or with another label than 0 and 1 teach nothing; other columns are ignored.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .words import ascii_lower
@@ -29,54 +30,36 @@ RULES = (
     ("block", "net", "/fr/"),
 )
 
-#: URLs with the label 1 for block, made up for this table.
-LABELLED = (
-    ("https://casino-bonus.example.test/play/slots/jackpot", 1),
-    ("http://best-poker-casino.test/free-spins/", 1),
-    ("http://online-slots.test/win/bet-now.html", 1),
-    ("https://sportsbet.test/betting/odds?ref=aff", 1),
-    ("http://cheap-pills.test/buy/viagra-online", 1),
-    ("https://pharmacy-discount.test/order/pills/cheap", 1),
-    ("http://xxx-videos.test/porn/free/", 1),
-    ("http://adult-cams.test/sex/live", 1),
-    ("https://hot-dating.test/adult/singles/sex-chat", 1),
-    ("http://free-download-crack.test/keygen/serial.exe", 1),
-    ("http://warez.test/torrent/crack/full-version", 1),
-    ("https://get-rich-quick.test/crypto/earn-money-fast", 1),
-    ("http://loan-offer.test/payday/instant-cash", 1),
-    ("http://click-track.test/redirect/ad/banner", 1),
-    ("http://ads.popunder.test/adserver/click", 1),
-    ("https://seo-links.test/buy-backlinks/cheap", 1),
-    ("http://replica-watches.test/shop/rolex-cheap", 1),
-    ("http://login-verify-account.test/secure/update/password", 1),
-    ("https://prize-winner.test/claim/free-iphone", 1),
-    ("http://malware-host.test/download/setup.exe", 1),
-    ("https://news.example.test/en/2021/05/local-elections", 0),
-    ("https://www.example.test/en/1042", 0),
-    ("http://blog.example.test/posts/gardening-in-spring", 0),
-    ("https://docs.example.test/guide/install.html", 0),
-    ("https://en.encyclopedia.test/articles/photosynthesis", 0),
-    ("http://www.university.test/research/papers/physics", 0),
-    ("https://library.test/catalogue/books/18843", 0),
-    ("http://museum.test/de/ausstellung/2290.html", 0),
-    ("https://m.example.test/fr/23873", 0),
-    ("https://www.city.test/es/servicios/transporte", 0),
-    ("https://recipes.test/en/soup/leek-and-potato", 0),
-    ("http://weather.test/forecast/today", 0),
-    ("https://code.test/project/readme.html", 0),
-    ("https://forum.test/thread/9921?page=2", 0),
-    ("http://history.test/en/roman-roads/", 0),
-    ("https://science.test/journal/volume/12", 0),
-    ("https://school.test/lessons/algebra", 0),
-    ("http://www.paper.test/en/7200/", 0),
-    ("https://travel.test/de/37791/", 0),
-    ("https://health.test/advice/sleep", 0),
-)
+#: Names that sites of either kind take, made up for the labelled table; label 1 is for block.
+NAMES = {
+    1: ("casino-club", "royal-casino", "slots-win", "poker-win", "bets-now", "live-bets", "free-spins", "free-cash", "cheap-watches", "cheap-meds", "buy-pills", "pills-shop", "adult-cams",
+        "adult-chat", "x-tube", "xxx-x", "spam-net", "link-farm", "seo-farm", "ads-click", "ads-server", "click-track", "track-pixel", "win-prize", "crack-free", "loan-cash", "spam-mail", "content-farm", "x-adult"),
+    0: ("gardens", "museum", "library", "townhall", "weather", "physics", "recipes", "history", "rivers", "schools", "theatre", "station", "tionen", "therin", "thaner", "ering", "ontion",
+        "readon", "thhes", "nesting", "lighthouse", "stone-age", "north-sea", "old-town", "open-source", "city-news",
+        "thather", "another", "hinter", "thister", "thatten", "erthat", "thintor", "restand", "edthen", "athere", "inthere", "ationer", "thething", "landing", "thingen", "waters",
+        "theand", "thisto", "hathat", "tiontor", "bleand", "shorten", "reston", "thereth", "anthat", "thtall"),
+}
+
+
+def shaped(names: dict[int, tuple[str, ...]]) -> tuple[tuple[str, int], ...]:
+    """A URL for every name in the shapes that pages have: scheme, a label before the host or none, ending, language, number and tail, each in turn.
+
+    The names of each label go through the same shapes, so that only names tell labels apart.
+    """
+    turn = lambda k, *of: of[k % len(of)]
+    return tuple(
+        (f"{turn(k, 'https', 'http', 'https')}://{turn(k, '', 'www.', 'blog.', 'm.')}{name}.example.{turn(k + k // 4, 'com', 'org', 'net')}/{turn(k + k // 3, 'en', 'de', 'fr', 'es')}/"
+         f"{(k * 7919 + 13) % 9973}{turn(k, '', '/', '.html', '?page=2&ref=x', '#top')}", label)
+        for label in (1, 0) for k, name in enumerate(names[label]))
+
+
+LABELLED = shaped(NAMES)
+MOST_LABELLED = 5000
 
 BUCKETS = 4096
 SIZES = (3, 4)
-STEPS = 150
-RATE, DECAY = 2.0, 0.002
+STEPS = 400
+RATE, DECAY = 4.0, 0.001
 LEAST = 0.5
 
 
@@ -114,12 +97,26 @@ def grams(host: Column, path: Column, buckets: int = BUCKETS) -> Column:
     return F.concat(*[of_size(n) for n in SIZES])
 
 
+def labelled_rows(spark: SparkSession, labelled) -> DataFrame:
+    """(k, url, y) of a labelled table: a DataFrame with url and label, or (url, label) pairs, which become literals."""
+    if not isinstance(labelled, DataFrame):
+        pairs = [F.struct(F.lit(k + 1).alias("k"), F.lit(u).alias("url"), F.lit(y).alias("y")) for k, (u, y) in enumerate(labelled)]
+        rows = spark.range(1).select(F.explode(F.array(*pairs)).alias("r")).select("r.*") if pairs else spark.range(0).select(F.lit(1).alias("k"), F.lit("").alias("url"), F.lit(0).alias("y"))
+    else:
+        rows = labelled.select("url", F.col("label").cast("int").alias("y")).where("url IS NOT NULL AND y IN (0, 1)")
+        rows = rows.select(F.row_number().over(W.partitionBy(F.lit(0)).orderBy("url", "y")).alias("k"), "url", "y")  # MOST_LABELLED rows
+    return rows
+
+
 def trained(spark: SparkSession, labelled=LABELLED, buckets: int = BUCKETS, steps: int = STEPS,
             rate: float = RATE, decay: float = DECAY) -> tuple[list[float], float]:
     """(weight of each bucket, bias) of the logistic regression on mean-valued n-grams."""
-    if not labelled:
+    rows = labelled_rows(spark, labelled)
+    count = rows.count()
+    if not count:
         return [0.0] * buckets, -1.0
-    rows = spark.createDataFrame([(k, u, y) for k, (u, y) in enumerate(labelled)], "k int, url string, y int")
+    if count > MOST_LABELLED:
+        raise ValueError(f"{count} labelled URLs; at most {MOST_LABELLED} are learned from")
     rows = rows.select("k", "y", grams(host_of(F.col("url")), path_of(F.col("url")), buckets).alias("g"))
     # Values are scaled so that a row's product with itself is about one.
     cells = rows.select("k", F.explode("g").alias("b"), F.size("g").alias("n")).groupBy("k", "b").agg(
@@ -128,10 +125,9 @@ def trained(spark: SparkSession, labelled=LABELLED, buckets: int = BUCKETS, step
     products = left.join(right, F.col("l.b") == F.col("r.b")).groupBy(F.col("l.k").alias("k"), F.col("r.k").alias("j")).agg(
         F.sum(F.col("l.x") * F.col("r.x")).alias("p"))
     # One row: the labels in order, and each row's products with all, those without a shared n-gram being 0.
-    row = products.groupBy("k").agg(F.map_from_entries(F.collect_list(F.struct("j", "p"))).alias("m")).join(rows.select("k", "y"), "k")
-    count = len(labelled)
-    dense = F.transform(F.sequence(F.lit(0), F.lit(count - 1)), lambda j: F.coalesce(F.element_at("m", j), F.lit(0.0)))
-    one = row.agg(F.sort_array(F.collect_list(F.struct("k", F.col("y").cast("double").alias("y"), dense.alias("p")))).alias("t"))
+    products = products.groupBy("k").agg(F.map_from_entries(F.collect_list(F.struct("j", "p"))).alias("m"))
+    dense = F.transform(F.sequence(F.lit(1), F.lit(count)), lambda j: F.coalesce(F.element_at("m", j), F.lit(0.0)))
+    one = rows.select("k", "y").join(products, "k", "left").agg(F.sort_array(F.collect_list(F.struct("k", F.col("y").cast("double").alias("y"), dense.alias("p")))).alias("t"))
     start = F.struct(F.array_repeat(F.lit(0.0), count).alias("a"), F.lit(0.0).alias("b"))
 
     def step(state, _):
@@ -142,11 +138,12 @@ def trained(spark: SparkSession, labelled=LABELLED, buckets: int = BUCKETS, step
         return F.struct(moved.alias("a"), bias.alias("b"))
 
     end = one.select(F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, step).alias("e"))
-    pieces = end.select(F.posexplode("e.a").alias("k", "a"), F.col("e.b").alias("bias"))
-    weights = cells.join(pieces, "k").groupBy("b").agg(F.sum(F.col("x") * F.col("a")).alias("w"), F.first("bias").alias("bias")).collect()  # at most `buckets` rows
+    pieces = end.select(F.posexplode("e.a").alias("at", "a"), F.col("e.b").alias("bias")).select((F.col("at") + 1).alias("k"), "a", "bias")
+    weights = pieces.join(cells, "k", "left").groupBy("b").agg(F.sum(F.col("x") * F.col("a")).alias("w"), F.first("bias").alias("bias")).collect()  # at most `buckets` rows and one
     table = [0.0] * buckets
     for r in weights:
-        table[r["b"]] = r["w"]
+        if r["b"] is not None:
+            table[r["b"]] = r["w"]
     return table, weights[0]["bias"]
 
 
