@@ -8,7 +8,7 @@ and that scores best, by the weighted dot product of demand and residual or by t
 Scale: a piece's demand depends on its length alone, so the packing is planned on the histogram of lengths, at
 most ``capacity`` numbers however many documents there are, and alike bins are planned together. The plan is a
 list of runs (length, first rank, bin, offset); pieces are ranked within their length by counts of blocks of
-documents and looked up in the plan. No bin is a group that some task has to hold, and copies of one length are
+documents, summed in two levels, and looked up in the plan. Equal pieces are ranked as one row with a count. No bin is a group that some task has to hold, and copies of one length are
 spread over all tasks. The plan's size depends on the capacities, not on the number of rows.
 
 Tokens come from the byte-level BPE vocabulary, whole texts at a time: by its ranks, which is faster, or by the
@@ -39,6 +39,8 @@ CAPACITY = 1024
 END_ID = 2
 #: Pieces of one length in a block that is ranked together; a busy length has as many blocks as it needs.
 BLOCK_ROWS = 500
+#: Blocks whose counts are summed together.
+SPAN = 4096
 
 
 def as_bytes(ids: list[int]) -> bytes:
@@ -180,14 +182,20 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, documents: int | None = None
     runs = plan(lengths, capacity, documents, attention, score=score)
     blocks = F.lit([max(1, -(-lengths.get(k + 1, 0) // block_rows)) for k in range(capacity)])
 
-    # Rank within a length: pieces of earlier blocks, then the place in the block.
+    # Rank within a length: pieces of earlier blocks, then the place in the block. Equal pieces of equal rows are one row with a count.
+    held = held.groupBy("doc_id", "piece", "start", "length", "ids_crc32", "n_tokens").agg(F.count(F.lit(1)).alias("n"))
     held = held.withColumn("block", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.get(blocks, F.col("length").cast("int") - 1)))
-    counts = held.groupBy("length", "block").agg(F.count(F.lit(1)).alias("n"))
-    carry = F.coalesce(F.sum("n").over(W.partitionBy("length").orderBy("block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    counts = stored(held.groupBy("length", "block").agg(F.sum("n").alias("n")).withColumn("span", F.floor(F.col("block") / SPAN)), "piece-counts")
+    above = lambda *key: W.partitionBy("length", *key).rowsBetween(W.unboundedPreceding, -1)
+    spans = counts.groupBy("length", "span").agg(F.sum("n").alias("n"))
+    spans = spans.select(F.col("length").alias("s_length"), F.col("span").alias("s_span"), F.coalesce(F.sum("n").over(above().orderBy("span")), F.lit(0)).alias("base"))
+    counts = counts.join(spans, (F.col("length") == F.col("s_length")) & (F.col("span") == F.col("s_span")))
+    carry = F.col("base") + F.coalesce(F.sum("n").over(above("span").orderBy("block")), F.lit(0))
     counts = counts.select(F.col("length").alias("c_length"), F.col("block").alias("c_block"), carry.alias("carry"))
-    place = F.row_number().over(W.partitionBy("length", "block").orderBy("doc_id", "piece", "ids_crc32", "start")) - 1
+    place = F.coalesce(F.sum("n").over(above("block").orderBy("doc_id", "piece", "ids_crc32", "start")), F.lit(0))
     ranked = held.withColumn("place", place).join(
-        counts, (F.col("length") == F.col("c_length")) & (F.col("block") == F.col("c_block"))).withColumn("rank", F.col("carry") + F.col("place"))
+        counts, (F.col("length") == F.col("c_length")) & (F.col("block") == F.col("c_block")))
+    ranked = ranked.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1))).withColumn("rank", F.col("carry") + F.col("place") + F.col("copy"))
 
     table = np.array(sorted(runs), dtype=np.int64).reshape(-1, 5)
     sent = spark.sparkContext.broadcast(table)
