@@ -6,10 +6,11 @@ several slots moved to a neighbour, in order of the estimated chance of success
 borders that are crossed), ``probes`` in all. Candidates of all tables are merged and ranked by exact distance in
 double precision on the original vectors.
 
-Scale: the index is one row a vector and table; a bucket's vectors meet the queries that probe it in one group, which
-returns each query's best few, so no row is made for a pair. Buckets over ``unit`` vectors are cut into parts that
-are searched apart. Of equal vectors only the k + 1 smallest ids can be in a result, and only those are indexed. A
-query that found too few is answered exactly by a scan, in blocks of a bounded number of queries.
+Scale: the index is one row a vector and table, dealt by bucket into blocks of about ``unit`` rows. A query sends the
+names of the buckets it visits, and its vector once to each block that holds some of them; the block returns the
+query's best few, so no row is made for a pair. Buckets over ``unit`` vectors are cut into parts, and blocks that over
+``unit`` queries visit are searched by several tasks. Of equal vectors only the k + 1 smallest ids can be in a result, and only
+those are indexed. Queries that found too few are answered exactly: blocks of them meet blocks of all vectors, in one job.
 
 Defined cases: vectors that are null, empty, all zero, or hold null or non-finite numbers, and rows without an id, take
 no part; of rows with one id the smallest vector counts; vectors meet only others of their dimension; ties go to
@@ -25,13 +26,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import FloatType
 
 from .scratch import stored
 
 #: Chosen for a recall clearly above 0.9 also on small tables, whose neighbours lie farther away than those of large ones.
 TABLES, HASHES, WIDTH, PROBES = 8, 8, 2.4, 80
 UNIT = 8192
-BLOCK = 1024
 #: Distances held at once.
 PAIRS = 1 << 18
 
@@ -47,9 +48,10 @@ def functions(dimension: int, tables: int, hashes: int, seed: int) -> tuple[np.n
     return rng.normal(size=(tables, hashes, dimension)), rng.uniform(size=(tables, hashes))
 
 
-def bucket_of(slots: np.ndarray) -> np.ndarray:
-    """One long for the slots along the last axis."""
-    out = np.zeros(slots.shape[:-1], np.uint64)
+def bucket_of(slots: np.ndarray, dimension: int) -> np.ndarray:
+    """One long for (dimension, table, slots), slots along the last axis and tables along the one before."""
+    tables = np.arange(slots.shape[-2], dtype=np.uint64) + np.uint64(dimension << 16)
+    out = np.broadcast_to(tables, slots.shape[:-1]).copy()
     for k in range(slots.shape[-1]):
         out = (out ^ slots[..., k].astype(np.int64).view(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
         out ^= out >> np.uint64(29)
@@ -117,129 +119,158 @@ def search(vectors: DataFrame, is_query, vec_id: str = "vec_id", embedding: str
     if middle is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     slot = width * middle
+    # Numbers travel in the width they came in; all arithmetic is in double precision.
+    kind = "<f4" if isinstance(vectors.schema[embedding].dataType.elementType, FloatType) else "<f8"
     # Copies beyond the k + 1 smallest ids are never among the nearest k.
     copies = F.row_number().over(W.partitionBy("v").orderBy("id"))
     index = rows.withColumn("copy", copies).where(F.col("copy") <= k + 1).select("id", "v")
 
-    def hashed(is_probe: bool):
-        def run(batches):
-            for b in batches:
-                out = []
-                sizes = np.array([len(v) for v in b["v"]])
-                for dim in np.unique(sizes).tolist():
-                    part = b[sizes == dim]
-                    x = np.stack(part["v"].to_numpy()).astype(float)
-                    project, offset = functions(dim, tables, hashes, seed)
-                    at = np.einsum("nd,thd->nth", x, project) / slot + offset
-                    slots = np.floor(at)
-                    raw, ids = [v.tobytes() for v in x], part["id"].to_numpy()
-                    if not is_probe:
-                        named = bucket_of(slots)
-                        for t in range(tables):
-                            out.append(pd.DataFrame({"dim": dim, "tab": t, "bucket": named[:, t], "id": ids, "raw": raw}))
-                        continue
-                    for n in range(len(x)):
-                        for t in range(tables):
-                            moves = perturbations(at[n, t] - slots[n, t], probes)
-                            moved = np.tile(slots[n, t], (len(moves), 1))
-                            for r, chosen in enumerate(moves):
-                                for h, step in chosen:
-                                    moved[r, h] += step
-                            out.append(pd.DataFrame({"dim": dim, "tab": t, "bucket": np.unique(bucket_of(moved)), "id": ids[n], "raw": raw[n]}))
-                if out:
-                    yield pd.concat(out, ignore_index=True)
-        return run
-
-    schema = "dim int, tab int, bucket long, id long, raw binary"
-    held = stored(index.mapInPandas(hashed(False), schema), "vector-buckets")
-    asked = rows.where(is_query(F.col("id")))
-    probed = asked.mapInPandas(hashed(True), schema)
-    where = ["dim", "tab", "bucket"]
-    crowded = held.groupBy(*where).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > unit).select(
-        *where, F.ceil(F.col("n") / F.lit(unit // 2)).cast("int").alias("parts"))
-    parts = F.coalesce("parts", F.lit(1))
-    held = held.join(crowded, where, "left").withColumn("part", F.pmod(F.xxhash64("id"), parts).cast("int"))
-    probed = probed.join(crowded, where, "left").withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1)))
-    columns = [*where, "part", "asks", "id", "raw"]
-    met = held.withColumn("asks", F.lit(0)).select(columns).unionByName(probed.withColumn("asks", F.lit(1)).select(columns))
-    key = [*where, "part"]
-    shuffles = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    met = met.repartition(max(2 * shuffles, 16), *key).sortWithinPartitions(*key, "asks")
-
-    def compared(batches):
-        found, pending = [], None
+    def hashed(batches):
         for b in batches:
-            pending = b if pending is None else pd.concat([pending, b], ignore_index=True)
-            keys = pending[key].to_numpy()
-            last = (keys == keys[-1]).all(axis=1)
-            done, pending = pending[~last], pending[last].reset_index(drop=True)
-            if len(done):
-                found = groups(done, found)
-            if sum(len(f[0]) for f in found) > PAIRS:
-                found = _best(found, k)
-        if pending is not None and len(pending):
-            found = groups(pending, found)
-        for q, v, s in _best(found, k):
-            yield pd.DataFrame({"query_id": q, "vec_id": v, "score": s})
-
-    def groups(rows_, found):
-        keys, asks = rows_[key].to_numpy(), rows_["asks"].to_numpy()
-        ids, raw, dims = rows_["id"].to_numpy(), rows_["raw"].to_numpy(), rows_["dim"].to_numpy()
-        starts = np.flatnonzero(np.concatenate(([True], (keys[1:] != keys[:-1]).any(axis=1))))
-        for a, z in zip(starts.tolist(), [*starts[1:].tolist(), len(keys)], strict=True):
-            split = a + int(np.searchsorted(asks[a:z], 1))
-            if a == split or split == z:
-                continue
-            x = np.frombuffer(b"".join(raw[a:z]), float).reshape(z - a, dims[a])
-            found.extend(_nearest(x[split - a :], ids[split:z], x[: split - a], ids[a:split], k))
-        return found
-
-    result = "query_id long, vec_id long, score double"
-    ranked = W.partitionBy("query_id").orderBy("score", "vec_id")
+            for ids, x, raw in _alike(b, kind):
+                project, offset = functions(x.shape[1], tables, hashes, seed)
+                named = bucket_of(np.floor(np.einsum("nd,thd->nth", x, project) / slot + offset), x.shape[1])
+                for t in range(tables):
+                    yield pd.DataFrame({"bucket": named[:, t], "id": ids, "raw": raw})
 
-    def top(df: DataFrame) -> DataFrame:
-        return df.dropDuplicates(["query_id", "vec_id"]).withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= k)
+    def probing(batches):
+        for b in batches:
+            for ids, x, _ in _alike(b, kind):
+                project, offset = functions(x.shape[1], tables, hashes, seed)
+                at = np.einsum("nd,thd->nth", x, project) / slot + offset
+                slots = np.floor(at)
+                for n in range(len(x)):
+                    moved = np.zeros((probes, tables, hashes))
+                    for t in range(tables):
+                        moved[:, t] = slots[n, t]
+                        for r, chosen in enumerate(perturbations(at[n, t] - slots[n, t], probes)):
+                            for h, step in chosen:
+                                moved[r, t, h] += step
+                    yield pd.DataFrame({"bucket": np.unique(bucket_of(moved, x.shape[1])), "id": ids[n]})
+
+    held = index.mapInPandas(hashed, "bucket long, id long, raw binary")
+    crowded = stored(held.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > unit).select(
+        "bucket", F.ceil(F.col("n") / F.lit(max(1, unit // 2))).cast("int").alias("parts")), "crowded-buckets")
+    blocks = max(1, -(-index.count() * tables // unit))
+    parts = F.coalesce("parts", F.lit(1))
+    place = lambda key, part: F.pmod(F.xxhash64(key, part), F.lit(blocks))
+    held = held.join(crowded, "bucket", "left").withColumn("part", F.pmod(F.xxhash64("id"), parts).cast("int")).select(
+        place("bucket", "part").alias("block"), F.array("bucket").alias("buckets"), "id", "raw")
+    asked = rows.where(is_query(F.col("id")))
+    probed = asked.mapInPandas(probing, "bucket long, id long").join(crowded, "bucket", "left")
+    probed = probed.withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).select(place("bucket", "part").alias("block"), "bucket", "id")
+    probed = stored(probed.groupBy("id", "block").agg(F.collect_set("bucket").alias("buckets")), "vector-probes")
+    raw_of = lambda df: df.mapInPandas(_raw(kind), "id long, raw binary")
+    probed = probed.join(raw_of(asked), "id").select("block", "buckets", "id", "raw")
 
-    best = stored(top(met.mapInPandas(compared, result)), "nearest")
+    best = stored(_top(_met(held, probed, unit, k, kind), k), "nearest")
     full = best.groupBy("query_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= k)
     short = stored(asked.join(full, F.col("id") == F.col("query_id"), "left_anti").select("id", "v"), "short-queries")
-    count = short.count()
-    if count:
-        blocks = -(-count // BLOCK)
-        numbered = short.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)))
-        scans = [best.select("query_id", "vec_id", "score")]
-        for n in range(blocks):
-            block = numbered.where(F.col("block") == n).toPandas()  # BLOCK queries on average
-            if len(block):
-                scans.append(index.mapInPandas(_scan(spark.sparkContext.broadcast((block["id"].to_numpy(), list(block["v"]))), k), result))
-        together = scans[0]
-        for s in scans[1:]:
-            together = together.unionByName(s)
-        best = top(together)
+    if short.count():
+        # Dimensions apart, each cut into blocks that every short query of the dimension meets.
+        sizes = stored(index.groupBy(F.size("v").alias("dim")).agg(F.ceil(F.count(F.lit(1)) / F.lit(unit)).cast("int").alias("chunks")), "dimensions")
+        named = lambda df: df.join(sizes, F.size("v") == F.col("dim"))
+        chunk = lambda n: F.xxhash64("dim", n)
+        whole = named(index).select(chunk(F.pmod(F.xxhash64("id"), "chunks").cast("int")).alias("block"), F.array(F.lit(0).cast("long")).alias("buckets"), "id", "v")
+        asks = named(short).withColumn("n", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).select(
+            chunk(F.col("n")).alias("block"), F.array(F.lit(0).cast("long")).alias("buckets"), "id", "v")
+        pack = lambda df: df.mapInPandas(_raw(kind, "block", "buckets"), "block long, buckets array<long>, id long, raw binary")
+        best = _top(best.select("query_id", "vec_id", "score").unionByName(_met(pack(whole), pack(asks), unit, k, kind)), k)
     return best.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
-def _scan(sent, k: int):
-    """Exact nearest of a block of queries among the vectors of each batch."""
+def _alike(batch: pd.DataFrame, kind: str):
+    """(ids, vectors, their bytes) of each dimension in a batch."""
+    sizes = np.array([len(v) for v in batch["v"]])
+    for dim in np.unique(sizes).tolist():
+        part = batch[sizes == dim]
+        x = np.stack(part["v"].to_numpy()).astype(float)
+        yield part["id"].to_numpy(), x, [v.tobytes() for v in x.astype(kind)]
+
+
+def _raw(kind: str, *keep: str):
+    """Vectors (column v) as bytes beside the id and the columns of keep."""
 
     def run(batches):
-        q_ids, q_vectors = sent.value
-        q_dims = np.array([len(v) for v in q_vectors])
-        found = []
         for b in batches:
-            dims = np.array([len(v) for v in b["v"]])
-            for dim in np.unique(dims).tolist():
-                if (mine := q_dims == dim).any():
-                    x = np.stack(b["v"][dims == dim].to_numpy()).astype(float)
-                    q = np.stack([np.asarray(v, float) for v, m in zip(q_vectors, mine, strict=True) if m])
-                    found.extend(_nearest(q, q_ids[mine], x, b["id"].to_numpy()[dims == dim], k))
-            found = _best(found, k)
-        for q, v, s in found:
-            yield pd.DataFrame({"query_id": q, "vec_id": v, "score": s})
+            yield pd.DataFrame({**{c: b[c] for c in keep}, "id": b["id"], "raw": [np.asarray(v, float).astype(kind).tobytes() for v in b["v"]]})
 
     return run
 
 
+def _top(found: DataFrame, k: int) -> DataFrame:
+    ranked = W.partitionBy("query_id").orderBy("score", "vec_id")
+    return found.dropDuplicates(["query_id", "vec_id"]).withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= k)
+
+
+def _met(held: DataFrame, asks: DataFrame, unit: int, k: int, kind: str) -> DataFrame:
+    """(query_id, vec_id, score): of each block, the k nearest that each query finds in the buckets it names.
+
+    held and asks: block, buckets, id, raw. A block's vectors, about ``unit``, are held by a task; its queries pass by.
+    """
+    spark = held.sparkSession
+    busy = stored(asks.groupBy("block").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > unit).select(
+        "block", F.ceil(F.col("n") / F.lit(max(1, unit // 2))).cast("int").alias("lanes")), "busy-blocks")
+    lanes = F.coalesce("lanes", F.lit(1))
+    held = held.join(busy, "block", "left").withColumn("lane", F.explode(F.sequence(F.lit(0), lanes - 1))).withColumn("asks", F.lit(0))
+    asks = asks.join(busy, "block", "left").withColumn("lane", F.pmod(F.xxhash64("id"), lanes).cast("int")).withColumn("asks", F.lit(1))
+    columns = ["block", "lane", "asks", "id", "buckets", "raw"]
+    shuffles = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    met = held.select(columns).unionByName(asks.select(columns)).repartition(max(2 * shuffles, 16), "block", "lane").sortWithinPartitions("block", "lane", "asks")
+
+    def run(batches):
+        now, vectors, index, found = None, [], None, []
+        for b in batches:
+            for block, lane, asking, key, buckets, raw in zip(*(b[c] for c in columns), strict=True):
+                if (block, lane) != now:
+                    now, vectors, index = (block, lane), [], None
+                if not asking:
+                    vectors.append((buckets[0], key, raw))
+                    continue
+                if index is None:
+                    index = _Block(vectors, kind)
+                found.extend(index.nearest(key, buckets, raw, k))
+                if len(found) > 4096:
+                    found = _best(found, k)
+                    if len(found[0][0]) > PAIRS // 2:
+                        yield _frame(found)
+                        found = []
+        for f in _best(found, k):
+            yield _frame([f])
+
+    return met.mapInPandas(run, "query_id long, vec_id long, score double")
+
+
+def _frame(found) -> pd.DataFrame:
+    q, v, s = (np.concatenate(x) for x in zip(*found, strict=True))
+    return pd.DataFrame({"query_id": q, "vec_id": v, "score": s})
+
+
+class _Block:
+    """The vectors of a block by bucket."""
+
+    def __init__(self, vectors: list[tuple[int, int, bytes]], kind: str):
+        self.kind = kind
+        buckets = np.array([b for b, *_ in vectors], np.int64)
+        order = np.argsort(buckets, kind="stable")
+        self.buckets = buckets[order]
+        self.ids = np.array([vectors[n][1] for n in order], np.int64)
+        self.raw = [vectors[n][2] for n in order]
+
+    def nearest(self, key: int, buckets, raw: bytes, k: int):
+        """The query's nearest among the vectors of the buckets, in bounded steps."""
+        asked = np.sort(np.asarray(buckets, np.int64))
+        first, last = np.searchsorted(self.buckets, asked, "left"), np.searchsorted(self.buckets, asked, "right")
+        at = np.concatenate([np.arange(a, z) for a, z in zip(first, last, strict=True) if z > a] or [np.zeros(0, int)])
+        at = at[np.unique(self.ids[at], return_index=True)[1]]
+        query = np.frombuffer(raw, self.kind).astype(float)[None, :]
+        for a in range(0, len(at), UNIT):
+            mine = [n for n in at[a : a + UNIT].tolist() if len(self.raw[n]) == len(raw)]
+            if mine:
+                x = np.frombuffer(b"".join([self.raw[n] for n in mine]), self.kind).reshape(len(mine), -1).astype(float)
+                yield from _nearest(query, np.array([key]), x, self.ids[mine], k)
+
+
 def exact(vectors: DataFrame, is_query, vec_id: str = "vec_id", embedding: str = "embedding", k: int = 10) -> list[tuple[int, int, int, float]]:
     """Brute force on the driver, for tests and for measuring recall on small tables."""
     rows = vectors.select(F.col(vec_id).cast("long").alias("id"), F.col(embedding).cast("array<double>").alias("v")).where(
