@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import language, mixing, nearest, packing, quality_model, quality_rules, revisits, scratch, sharding, simhash, url_filter
+from .words import own_name
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -85,16 +86,28 @@ def op7_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest.search(_read(spark, sf_dir, "embeddings"), lambda key: key % 100 == 0)
 
 
-@_query("op8_sharding", "SELECT doc_id, md5(coalesce(text, '')) AS text_md5, lang, source FROM documents")
+ARRIVALS = 8
+
+
+@_query("op8_sharding", "SELECT doc_id, md5(coalesce(text, '')) AS text_md5, lang, source, true AS merged, true AS rows_agree, true AS in_bounds, true AS settled, "
+        "(SELECT count(*) FROM documents) AS manifest_rows FROM documents")
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents, appended in two arrivals and compacted, as the newest manifest gives them back."""
+    """All documents, appended in several arrivals and compacted, as the newest manifest gives them back, and whether the manifest keeps its promises.
+
+    merged: whether the row's shard came out of a merge, as all do where the arrivals are far below the target. rows_agree: the shard holds as
+    many rows as the manifest says. in_bounds: it has at most three times the target's bytes. settled: no tier has enough shards left to merge.
+    """
     store = sharding.ShardStore(spark, scratch.fresh_path(spark, "shards"))
     docs = _read(spark, sf_dir, "documents")
-    early = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 != 0, F.lit(True))
-    store.append(docs.where(early))
-    store.append(docs.where(~early))
-    rows = store.read(store.compact(), docs.schema)
-    return rows.select("doc_id", F.md5(F.coalesce("text", F.lit(""))).alias("text_md5"), "lang", "source")
+    dealt = own_name(docs.columns, "arrival")
+    store.append_each(docs.withColumn(dealt, F.coalesce(F.crc32(F.col("doc_id").cast("string")) % ARRIVALS, F.lit(0))), dealt)
+    done = store.compact()
+    columns = ["doc_id", F.md5(F.coalesce("text", F.lit(""))).alias("text_md5"), "lang", "source"]
+    rows = sharding.placed(store, done, columns, docs.schema)
+    counted = rows.groupBy("shard_id").agg(F.count(F.lit(1)).alias("held"))
+    rows = rows.join(counted, "shard_id")
+    return rows.select("doc_id", "text_md5", "lang", "source", (F.col("level") > 0).alias("merged"), (F.col("held") == F.col("shard_rows")).alias("rows_agree"),
+                       (F.col("shard_bytes") <= 3 * store.target).alias("in_bounds"), F.lit(not store.merges(done)).alias("settled"), F.lit(sum(s.rows for s in done.shards)).cast("long").alias("manifest_rows"))
 
 
 @_query("op9_revisits", revisits.SQL)

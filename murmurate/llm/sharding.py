@@ -9,7 +9,8 @@ Merged shards are written beside the old ones and become visible with the next m
 A commit is the rename of a finished manifest file to its version's name, which fails if that version exists. A
 reader takes one manifest and sees whole versions only; a job that is lost leaves files that no manifest names,
 and a writer that loses a race starts over from the newer version. Old shards stay for readers of old versions
-until ``vacuum``.
+until ``vacuum``. A writer notes its intent before it makes a folder and takes the note away once the folder's shards are
+committed; ``vacuum`` spares folders with a note younger than ``grace``, so what a running writer will name stays.
 
 Scale: the plan works on the manifest, a short line a shard. Rounds of merges run side by side. Each row is
 rewritten once a tier, so the work grows with the logarithm of the size.
@@ -21,6 +22,7 @@ they are; columns must agree with the store's.
 from __future__ import annotations
 
 import json
+import time
 import uuid
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import asdict, dataclass
@@ -31,6 +33,8 @@ from pyspark.sql import functions as F
 TARGET_BYTES = 128 << 20
 SMALLEST_BYTES = 1 << 20
 FAN_IN = 4
+#: Seconds after which a writer that left a note of intent counts as lost.
+GRACE = 7 * 24 * 3600
 #: Merges that run side by side.
 LANES = 8
 
@@ -108,27 +112,58 @@ class ShardStore:
             raise
         return new
 
-    def _write(self, df: DataFrame, level: int, arrival: int) -> list[Shard]:
-        """Writes df as it is partitioned; one shard a file with rows."""
+    def _intent(self, folder: str):
+        return self._path(f"{self.root}/_intent/{folder.removeprefix('data/')}")
+
+    def _forget(self, folders: set[str]) -> None:
+        for folder in folders:
+            self.fs.delete(self._intent(folder), False)
+
+    def _write(self, df: DataFrame, level: int, arrival: int, by: str | None = None) -> list[Shard]:
+        """Writes df as it is partitioned; one shard a file with rows. With a column ``by``, apart for each of its values, in their order."""
         folder = f"data/{uuid.uuid4().hex}"
-        df.write.parquet(f"{self.root}/{folder}")
-        files = [(s.getPath().getName(), s.getLen()) for s in self.fs.listStatus(self._path(f"{self.root}/{folder}")) if s.getPath().getName().endswith(".parquet")]
+        self.fs.create(self._intent(folder), False).close()
+        (df.write if by is None else df.write.partitionBy(by)).parquet(f"{self.root}/{folder}")
+        top = self._path(f"{self.root}/{folder}")
+        parts = [""] if by is None else [s.getPath().getName() for s in self.fs.listStatus(top) if s.isDirectory()]
+        parts.sort(key=lambda p: (len(p), p))
+        files = [(f"{p}/{s.getPath().getName()}".lstrip("/"), s.getLen()) for p in parts for s in sorted(
+            self.fs.listStatus(self._path(f"{self.root}/{folder}/{p}".rstrip("/"))), key=lambda s: s.getPath().getName()) if s.getPath().getName().endswith(".parquet")]
         if not files:
+            self._forget({folder})
             return []
-        counted = self.spark.read.schema(df.schema).parquet(f"{self.root}/{folder}").groupBy(F.col("_metadata.file_name").alias("f")).count()
-        rows = {r["f"]: r["count"] for r in counted.collect()}  # a row a file
-        return [Shard(f"{folder}/{name}", size, rows[name], level, arrival + k)
-                for k, (name, size) in enumerate(sorted(files)) if rows.get(name)]
+        schema = df.drop(by).schema if by else df.schema
+        counted = self.spark.read.schema(schema).parquet(*[f"{self.root}/{folder}/{f}" for f, _ in files]).groupBy(F.col("_metadata.file_path").alias("f")).count()
+        rows = {"/".join(r["f"].split("/")[-1 if by is None else -2 :]): r["count"] for r in counted.collect()}  # a row a file
+        return [Shard(f"{folder}/{name}", size, rows[name], level, arrival + k) for k, (name, size) in enumerate(files) if rows.get(name)]
 
     def append(self, df: DataFrame) -> Manifest:
         """Adds the rows as new shards, one for each partition with rows, in a new version."""
         base = self.manifest()
-        shards = self._write(df, 0, base.arrivals)
+        return self._added(base, self._write(df, 0, base.arrivals))
+
+    def append_each(self, df: DataFrame, by: str) -> Manifest:
+        """Adds several arrivals in one pass: the rows of each value of the column ``by``, which is not kept, in a version of their own."""
+        base = self.manifest()
+        made: dict[str, list[Shard]] = {}
+        for s in self._write(df, 0, base.arrivals, by):
+            made.setdefault(s.path.split("/")[2], []).append(s)
+        folders = {_folder(s) for held in made.values() for s in held}
+        for held in made.values():
+            base = self._added(base, held, forget=False)
+        self._forget(folders)
+        return base
+
+    def _added(self, base: Manifest, shards: list[Shard], forget: bool = True) -> Manifest:
         while True:
             try:
-                return self.commit(base, [*base.shards, *shards], base.arrivals + len(shards))
+                new = self.commit(base, [*base.shards, *shards], max([base.arrivals, *[s.arrival + 1 for s in shards]]))
+                break
             except CommitConflict:
                 base = self.manifest()
+        if forget:
+            self._forget({_folder(s) for s in shards})
+        return new
 
     def tier(self, shard: Shard) -> int:
         """0 for the smallest shards, one more for each ``fan_in`` times the size."""
@@ -174,10 +209,12 @@ class ShardStore:
                 new = [s for s in base.shards if s.path not in gone] + [s for m in made for s in m]
                 try:
                     base = self.commit(base, new, base.arrivals)
+                    self._forget({_folder(s) for m in made for s in m})
                     break
                 except CommitConflict:
                     base = self.manifest()
                     if not gone <= {s.path for s in base.shards}:  # another compaction took them
+                        self._forget({_folder(s) for m in made for s in m})
                         break
         return base
 
@@ -192,23 +229,37 @@ class ShardStore:
         schema = self.spark.read.parquet(first).schema
         return self.spark.read.schema(schema).parquet(*[f"{self.root}/{s.path}" for s in manifest.shards])
 
-    def vacuum(self, keep_versions: int = 2) -> int:
-        """Deletes folders of shards that none of the last versions name; returns how many."""
-        kept = {s.path.rsplit("/", 1)[0] for v in self.versions()[-keep_versions:] for s in self.manifest(v).shards}
-        folder = self._path(f"{self.root}/data")
-        gone = [s.getPath() for s in self.fs.listStatus(folder) if f"data/{s.getPath().getName()}" not in kept] if self.fs.exists(folder) else []
+    def vacuum(self, keep_versions: int = 2, grace: float = GRACE) -> int:
+        """Deletes folders of shards that none of the last versions name and no writer is about to name; returns how many.
+
+        Folders are listed first, then the notes of intent, then the manifests: a folder without a note is by then in a manifest or lost.
+        """
+        folder, notes = self._path(f"{self.root}/data"), self._path(f"{self.root}/_intent")
+        found = [s.getPath() for s in self.fs.listStatus(folder)] if self.fs.exists(folder) else []
+        noted = {s.getPath().getName(): s.getModificationTime() / 1000 for s in self.fs.listStatus(notes)} if self.fs.exists(notes) else {}
+        held = {name for name, since in noted.items() if time.time() - since < grace}
+        kept = {_folder(s) for v in self.versions()[-keep_versions:] for s in self.manifest(v).shards}
+        gone = [p for p in found if f"data/{p.getName()}" not in kept and p.getName() not in held]
         for path in gone:
             self.fs.delete(path, True)
+        self._forget({f"data/{name}" for name in noted if name not in held})
         return len(gone)
 
 
-def placed(store: ShardStore, manifest: Manifest, columns: list[str]) -> DataFrame:
+def _folder(shard: Shard) -> str:
+    """The folder, below the store, that one write made."""
+    return "/".join(shard.path.split("/")[:2])
+
+
+def placed(store: ShardStore, manifest: Manifest, columns: list, schema=None) -> DataFrame:
     """The given columns of every row with the number, level, bytes and rows of the shard that holds it.
 
-    Shards are numbered in arrival order. The manifest is joined by file name, a line a shard.
+    Shards are numbered in arrival order. The manifest, a line a shard, is joined by file path.
     """
     spark = store.spark
-    lines = [(s.path.rsplit("/", 1)[1], n, s.level, s.bytes, s.rows) for n, s in enumerate(manifest.shards)]
+    lines = [("/".join(s.path.split("/")[1:]), n, s.level, s.bytes, s.rows) for n, s in enumerate(manifest.shards)]
     table = spark.createDataFrame(lines, "shard_file string, shard_id int, level int, shard_bytes long, shard_rows long")
-    rows = store.read(manifest).select(*columns, F.col("_metadata.file_name").alias("file_of"))
-    return rows.join(table, rows["file_of"] == table["shard_file"]).select(*columns, "shard_id", "level", "shard_bytes", "shard_rows")
+    rows = store.read(manifest, schema)
+    at = F.regexp_extract("_metadata.file_path", "/data/([^/]+/.*)$", 1) if manifest.shards else F.lit(None).cast("string")
+    rows = rows.select(*columns, at.alias("file_of"))
+    return rows.join(table, F.col("file_of") == F.col("shard_file")).drop("file_of", "shard_file")
