@@ -5,10 +5,12 @@ same canonical URL; its validators must agree with that response (entity tag, mo
 far as both have them, at least one in common), and then its headers update the stored ones, except those that
 describe one connection or one body.
 
-The as-of join: times of one URL are cut into ranges of about ``range_rows`` rows; the latest response of each
-range is carried to the ranges after it on a small table, and only rows of one range are ordered together. A URL
-with a third of all records is thus spread over many tasks. Bodies do not move: the window carries ids, validators
-and headers, and the payload is fetched by id at the end.
+The as-of join: responses of one URL and time are one entry (made on the map side), and so are the questions of all
+revisits of one URL and time, so a burst costs one row. Times of one URL are cut into ranges of ``range_span`` units,
+which hold at most that many entries; the latest response of each
+range is carried to the ranges after it on a small table, and only entries of one range are ordered together. A URL
+with a third of all records is thus spread over many tasks. The answers are written, and each revisit fetches its own. Bodies do
+not move: ids, validators and headers do, and the payload is fetched by id at the end.
 
 Defined cases: a null or unparsable URL, and a null time, resolve to nothing (``no_url``, ``no_time``); a revisit
 with no earlier full response is ``unresolved``; one whose validators disagree or have none in common is
@@ -22,9 +24,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .scratch import stored
 from .words import ascii_lower
 
-RANGE_ROWS = 20_000
+RANGE_SPAN = 20_000
 #: Query parameters that name a visit, not a page.
 TRACKING = ("utm_source", "utm_medium", "utm_campaign", "utm_term", "utm_content", "gclid", "fbclid", "ref", "sessionid")
 #: Headers that a 304 answer must not change in the stored response.
@@ -61,37 +64,35 @@ def strong(tag: Column) -> Column:
     return F.regexp_replace(F.trim(tag), r"^W/", "")
 
 
-def resolve(records: DataFrame, range_rows: int = RANGE_ROWS) -> DataFrame:
+def resolve(records: DataFrame, range_span: int = RANGE_SPAN) -> DataFrame:
     """One row a revisit: record_id, canonical, status, response_id, response_time, headers.
 
-    records: record_id, url, time (any orderable number), kind (``response`` or ``revisit``), digest, and headers
+    records: record_id, url, time (a whole number), kind (``response`` or ``revisit``), digest, and headers
     (map). headers of the result are the merged ones; null unless resolved.
     """
+    name = records.schema["record_id"].dataType
     df = records.select("record_id", canonical_url(F.col("url")).alias("url"), F.col("time").cast("long").alias("time"), "kind", "digest", lowered(F.col("headers")).alias("headers"))
     df = df.where(F.col("kind").isin("response", "revisit"))
     ok = F.col("url").isNotNull() & F.col("time").isNotNull()
     lost = df.where(~ok & (F.col("kind") == "revisit")).select(
         "record_id", F.col("url").alias("canonical"), F.when(F.col("url").isNull(), "no_url").otherwise("no_time").alias("status"),
-        F.lit(None).cast("long").alias("response_id"), F.lit(None).cast("long").alias("response_time"), F.lit(None).cast("map<string,string>").alias("headers"))
+        F.lit(None).cast(name).alias("response_id"), F.lit(None).cast("long").alias("response_time"), F.lit(None).cast("map<string,string>").alias("headers"))
     df = df.where(ok)
 
-    # Only busy URLs are cut; the rest are one range each.
-    busy = df.groupBy("url").agg(F.count(F.lit(1)).alias("n"), F.min("time").alias("from"), F.max("time").alias("to")).where(F.col("n") > range_rows)
-    busy = busy.select(F.col("url").alias("b_url"), "from", F.greatest(F.lit(1).cast("long"), F.ceil((F.col("to") - F.col("from") + 1) / F.ceil(F.col("n") / range_rows))).alias("width"))
-    df = df.join(busy, F.col("url") == F.col("b_url"), "left").withColumn(
-        "range", F.coalesce(F.floor((F.col("time") - F.col("from")) / F.col("width")), F.lit(0)).cast("long")).drop("b_url", "from", "width")
-
     is_response = F.col("kind") == "response"
     answer = F.struct(F.col("time").alias("time"), F.col("record_id").alias("id"), "digest", "headers")
-    # The last response of each range, then of all ranges before one. Maps have no order, so the pair that orders goes in beside.
-    order = F.struct("time", "record_id")
-    ends = df.groupBy("url", "range").agg(F.max_by(F.when(is_response, answer), F.when(is_response, order)).alias("end"))
+    # Maps have no order, so what orders goes in beside: the greatest id of those that answered at one time.
+    times = df.groupBy("url", "time").agg(F.max_by(F.when(is_response, answer), F.when(is_response, F.struct("record_id"))).alias("answer"),
+                                          F.bool_or(~is_response).alias("asked"))
+    times = times.withColumn("range", F.floor(F.col("time") / range_span))
+    ends = times.groupBy("url", "range").agg(F.max_by("answer", F.when(F.col("answer").isNotNull(), F.col("time"))).alias("end"))
     before = W.partitionBy("url").orderBy("range").rowsBetween(W.unboundedPreceding, -1)
     ends = ends.select(F.col("url").alias("e_url"), F.col("range").alias("e_range"), F.last("end", ignorenulls=True).over(before).alias("carried"))
-    within = W.partitionBy("url", "range").orderBy("time").rangeBetween(W.unboundedPreceding, -1)
-    latest = F.max_by(F.when(is_response, answer), F.when(is_response, order)).over(within)
-    df = df.withColumn("latest", latest).where(F.col("kind") == "revisit")
-    df = df.join(ends, (F.col("url") == F.col("e_url")) & (F.col("range") == F.col("e_range")), "left").withColumn("found", F.coalesce("latest", "carried"))
+    within = W.partitionBy("url", "range").orderBy("time").rowsBetween(W.unboundedPreceding, -1)
+    times = times.withColumn("latest", F.last("answer", ignorenulls=True).over(within)).where("asked")
+    times = times.join(ends, (F.col("url") == F.col("e_url")) & (F.col("range") == F.col("e_range")), "left")
+    found = stored(times.select(F.col("url").alias("f_url"), F.col("time").alias("f_time"), F.coalesce("latest", "carried").alias("found")), "revisit-answers")
+    df = df.where(~is_response).join(found, (F.col("url") == F.col("f_url")) & (F.col("time") == F.col("f_time")), "left")
 
     def agree(mine: Column, theirs: Column) -> Column:
         return F.when(mine.isNotNull() & theirs.isNotNull(), mine == theirs)
