@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
 import zlib
 
 import numpy as np
@@ -13,34 +15,34 @@ SF = "/root/testdata/sf0.01"
 
 
 def longest_match_phrases(text, learned):
-    """Cross-parsing by plain search, in segments."""
-    n = 0
-    for s in range(0, len(text), language.SEGMENT):
-        part, at = text[s : s + language.SEGMENT], 0
-        n += 1
-        start = 0
-        while at < len(part):
-            if part[start : at + 1] in learned:
-                at += 1
-            else:
-                n += 1
-                start = at
-                if part[at] not in learned:
-                    start = at + 1
-                at += 1
+    """Cross-parsing by plain search over a string or bytes."""
+    n, start = 1, 0
+    for at in range(len(text)):
+        if text[start : at + 1] not in learned:
+            n += 1
+            start = at if text[at : at + 1] in learned else at + 1
     return n
 
 
-def test_phrases_are_longest_matches():
-    learned = (("aa", "the cat sat on the mat and the dog ran"), ("bb", "el gato se sienta en la alfombra y corre"))
-    model = language.Model(learned)
-    for text in ("the cat ran", "el gato corre en", "zzz the", "a" * 700, "the dog sat on the cat" * 30):
-        coded = model.encode(text)
-        counts = model.phrases([coded, coded[:0]])
-        for k, (_, body) in enumerate(learned):
-            want = longest_match_phrases(coded.tobytes(), model.encode(body).tobytes())
-            assert counts[0, k] == want
-        assert counts[1].tolist() == [0, 0]
+LEARNED = (("aa", "the cat sat on the mat and the dog ran"), ("bb", "el gato se sienta en la alfombra y corre"), ("cc", "我们都喜欢这个游戏但是它太短了"))
+TEXTS = ("the cat ran", "el gato corre en", "zzz the", "a" * 700, "the dog sat on the cat" * 30, "这个游戏太好了 the 我们喜欢", "喜欢" * 400)
+
+
+@pytest.mark.parametrize(("cells", "alone"), [(40_000_000, 0), (40_000_000, 64), (1, 0), (1, 64), (1500, 0), (1500, 6)])
+def test_phrases_are_longest_matches(monkeypatch, cells, alone):
+    monkeypatch.setattr(language, "CELLS", cells)
+    monkeypatch.setattr(language, "ALONE", alone)
+    monkeypatch.setattr(language, "BLOCK", 16)
+    monkeypatch.setattr(language, "TOGETHER", 4)
+    model = language.Model(LEARNED)
+    assert model.dense < model.width or cells > 1500
+    coded = [model.encode(t) for t in TEXTS]
+    counts = model.phrases([*coded, coded[0][:0]])
+    spell = lambda codes: "".join(map(chr, codes.tolist()))
+    for n, c in enumerate(coded):
+        for k, (_, body) in enumerate(LEARNED):
+            assert counts[n, k] == longest_match_phrases(spell(c), spell(model.encode(body)))
+    assert counts[-1].tolist() == [0, 0, 0]
 
 
 def test_automaton_holds_every_stretch():
@@ -81,14 +83,40 @@ def test_language_edges(spark):
     assert [n for n, _ in language.learned_text(df, learn=lambda key: key > 3)] == ["a", "b", "c"]
 
 
-def test_language_bounds(spark, monkeypatch):
-    monkeypatch.setattr(language, "CELLS", 30_000)
-    monkeypatch.setattr(language, "ALPHABET", 5)
-    model = language.Model(tuple((f"l{k}", chr(97 + k) * 3000 + "xyz" * 3000) for k in range(10)))
-    assert model.width == 7 and len(model.moves) <= 10 * 2 * 7 * 300
-    monkeypatch.setattr(language, "LANGUAGES", 2)
-    df = spark.createDataFrame([(n, "some words", f"l{n % 5 % 3}") for n in range(50)], "doc_id long, text string, lang string")
-    assert [n for n, _ in language.learned_text(df)] == ["l0", "l1"]
+def test_every_letter_is_a_symbol():
+    """Two texts of the same thousands of letters in another order are told apart, whatever the table holds."""
+    letters = [chr(0x4E00 + k) for k in range(3000)]
+    rng = np.random.default_rng(1)
+    words = [["".join(rng.choice(letters, 3)) for _ in range(2000)] for _ in range(2)]
+    learned = tuple((name, "".join(w)) for name, w in zip(("x", "y"), words, strict=True))
+    model = language.Model(learned)
+    assert model.width > 2900
+    texts = [model.encode("".join(rng.choice(words[k % 2], 30))) for k in range(40)]
+    assert model.phrases(texts).argmin(axis=1).tolist() == [k % 2 for k in range(40)]
+
+
+def test_language_query_against_plain_search(spark):
+    """Every prediction over sf0.001, by plain search for the longest matches."""
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    learned = language.learned_text(docs, learn=quality_model.learnable(2, 4))
+    model = language.Model(())
+
+    def letters(text):
+        out = "".join(c if language.is_letter(c) else " " for c in text.lower())
+        return re.sub(" +", " ", out).removeprefix(" ")
+
+    bodies = [letters(body) for _, body in learned]
+    got = {r["doc_id"]: r for r in queries.QUERIES["op2_language"](spark, sf).collect()}
+    for r in docs.collect():
+        text = letters(r["text"] or "")
+        if not text.strip():
+            assert got[r["doc_id"]]["lang_pred"] == "und"
+            continue
+        rates = [longest_match_phrases(text, body) * np.log2(max(2, len(whole))) / len(text) for body, (_, whole) in zip(bodies, learned, strict=True)]
+        assert got[r["doc_id"]]["lang_pred"] == learned[int(np.argmin(rates))][0]
+        assert got[r["doc_id"]]["score"] == pytest.approx(1 / np.exp2(-4 * (np.array(rates) - min(rates))).sum())
+    assert model.phrases([]).shape == (0, 0)
 
 
 def test_quality_accuracy(spark):
@@ -116,6 +144,52 @@ def test_updates_follow_the_regularised_leader():
     assert np.allclose(model.z, z) and np.allclose(model.n, n)
 
 
+def test_quality_query_against_plain_updates(spark):
+    """Every score over sf0.001, by plain code for the features, the updates and the dot products."""
+    sf = "/root/testdata/sf0.001"
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    labels = [(r["doc_id"], r["quality"]) for r in spark.read.parquet(f"{sf}/labels.parquet").collect() if zlib.crc32(str(r["doc_id"]).encode()) % 3 != 1]
+
+    def features(text):
+        words = [w for w in re.split(r"[\x20\x09-\x0D]+", text or "") if w]
+        out = {}
+        for salt, kind in enumerate((words, ["#" + quality_model.shape(w) for w in words])):
+            one = [zlib.crc32(w.encode()) + (salt << 33) for w in kind]
+            for grams in ([h * quality_model.PRIME for h in one], [(a * quality_model.PRIME % 2**64 ^ b + 2**40) * quality_model.PRIME for a, b in zip(one, one[1:], strict=False)]):
+                for g in grams:
+                    out[g % 2**64 >> 46] = out.get(g % 2**64 >> 46, 0.0) + 1 / len(grams)
+        return {k: float(np.float32(v)) for k, v in sorted(out.items())}
+
+    held = [(str(i), y, features(texts[i])) for i, y in labels]
+    crc = [zlib.crc32(np.array(list(x), "<i4").tobytes()) for *_, x in held]
+    share = {y: len(held) / (2 * sum(h[1] == y for h in held)) for y in (0, 1)}
+    z, n = {}, {}
+
+    def weight(k):
+        v = z.get(k, 0.0)
+        return 0.0 if abs(v) <= quality_model.L1 else -(v - np.sign(v) * quality_model.L1) / ((quality_model.BETA + np.sqrt(n[k])) / quality_model.ALPHA + quality_model.L2)
+
+    for epoch in range(1, quality_model.EPOCHS + 1):
+        for k in sorted(range(len(held)), key=lambda k: hashlib.md5(f"{epoch}:{held[k][0]}:{held[k][1]}:{crc[k]}".encode()).hexdigest()):
+            _, y, x = held[k]
+            x = x | {"bias": 1.0}
+            w = {c: weight(c) for c in x}
+            slope = (1 / (1 + np.exp(-sum(w[c] * v for c, v in x.items()))) - y) * share[y]
+            for c, v in x.items():
+                g, had = slope * v, n.get(c, 0.0)
+                z[c] = z.get(c, 0.0) + g - (np.sqrt(had + g * g) - np.sqrt(had)) / quality_model.ALPHA * w[c]
+                n[c] = had + g * g
+    got = {r["doc_id"]: r["score"] for r in queries.QUERIES["op3_quality_classifier"](spark, sf).collect()}
+    for i, text in texts.items():
+        assert got[i] == pytest.approx(1 / (1 + np.exp(-sum(weight(c) * v for c, v in features(text).items()) - weight("bias"))), abs=1e-5)
+
+
+def test_long_words_have_whole_shapes():
+    word = "ab1" * 30 + "!" * 5 + "Z"
+    assert quality_model.shape(word) == "a0" * 30 + "!A"
+    assert (quality_model.features("x" * 200 + "1")[0] != quality_model.features("x" * 200 + "!")[0]).any()
+
+
 def test_features_are_shares_of_each_kind():
     at, value = quality_model.features("A b  c\nA b")
     assert len(at) == len(value) == 5 + 4 + 5 + 4
