@@ -8,6 +8,7 @@ is a filled-in form is read by its ticked boxes instead. Offsets are UTF-8 bytes
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from dataclasses import dataclass
 
 import pandas as pd
@@ -21,8 +22,9 @@ CENSORED = "♥"
 TERMINATORS = ".!?…。！？۔।"
 BREAKING_TAGS = ("*", "hr", "list", "olist", "quote", "table", "tr", "td", "th")
 MARKERS = "-+*•·–—>,，、"
-ABBREVIATIONS = frozenset(
-    "mr mrs ms dr prof vs etc eg ie approx max vol ch pp st inc ltd jr sr ca bzw evtl ggf usw zb dh uvm inkl bspw eig sog bzgl env ecc def ed ver vers esp resp orig hrs hr min sec avg lvl ep ect".split())
+ABBREVIATIONS = frozenset((
+    "mr", "mrs", "ms", "dr", "prof", "vs", "etc", "eg", "ie", "approx", "max", "vol", "ch", "pp", "st", "inc", "ltd", "jr", "sr", "ca", "bzw", "evtl", "ggf", "usw", "zb", "dh", "uvm", "inkl", "bspw", "eig", "sog",
+    "bzgl", "env", "ecc", "def", "ed", "ver", "vers", "esp", "resp", "orig", "hrs", "hr", "min", "sec", "avg", "lvl", "ep", "ect"))
 RUSSIAN_ABBREVIATIONS = frozenset(("т.е", "т.к", "т.ч", "напр", "доп"))
 RUSSIAN_BEFORE_A_CAPITAL = frozenset(("т.д", "т.п", "тд", "тп", "см", "др", "ч", "мин", "сек", "руб", "р", "тыс", "млн", "млрд", "г"))
 BOXES_OF_A_FORM, SHORT_PART, LEAST_PART, SHORT_ANSWER, LEAST_WEIGHT, DENSE = 3, 18, 6, 30, 12, 3
@@ -31,6 +33,7 @@ _TAG = re.compile(r"\[(/?)([a-z0-9*]+)(?:=[^\]\n]*)?\]", re.IGNORECASE)
 _DENSE = re.compile("[぀-ヿ㐀-䶿一-鿿가-힯豈-﫿]")
 _OPEN, _CLOSE = "([{（【「『《“«", ")]}）】」』》”»"
 _LINK = re.compile(r"(?:https?://|www\.)\S+", re.IGNORECASE)
+_BLANKS = re.compile(r"[ \t]*")
 _NUMBERING = re.compile(r"\s*\d{1,3}[.)](?=\s)")
 
 
@@ -124,36 +127,67 @@ def _word_before(text: str, at: int) -> str:
     return text[start:at]
 
 
+def _numbers_a_line(text: str, at: int) -> bool:
+    """Whether all of the line before a place is a number of at most three digits."""
+    digits = at
+    while digits and text[digits - 1].isdigit() and at - digits < 4:
+        digits -= 1
+    if not 1 <= at - digits <= 3:
+        return False
+    while digits and text[digits - 1] in " \t":
+        digits -= 1
+    return not digits or text[digits - 1] == "\n"
+
+
+def _spaced_word_before(text: str, at: int) -> str:
+    """The word before a stop, in lower case, with one that a stop and blanks part from it: "т. е" as "т.е"."""
+    word, start = _word_before(text, at), at
+    start -= len(word)
+    gap = start
+    while gap and text[gap - 1] in " \t":
+        gap -= 1
+    if word and gap < start and gap and text[gap - 1] == ".":
+        word = _word_before(text, gap) + word
+    return word.lower()
+
+
 def stop_holds(text: str, at: int) -> bool:
     """Whether the full stop at a place does not end a sentence."""
-    before, rest = text[:at], text[at + 1 :]
-    nxt, follow = rest[:1], rest.lstrip(" \t")
+    nxt = text[at + 1 : at + 2]
     if nxt.isalnum():
         return True
-    line = re.split(r"\n", before)[-1].strip()
-    if line.isdigit() and len(line) <= 3 and nxt.isspace():
+    if nxt.isspace() and _numbers_a_line(text, at):
         return True
-    word = _word_before(text, at)
+    word, spaced = _word_before(text, at), _spaced_word_before(text, at)
     low = word.lower()
-    if low.replace(".", "") in ABBREVIATIONS or low in RUSSIAN_ABBREVIATIONS:
+    if low.replace(".", "") in ABBREVIATIONS or spaced in RUSSIAN_ABBREVIATIONS:
         return True
-    if low in RUSSIAN_BEFORE_A_CAPITAL and follow[:1].islower():
+    follow = _BLANKS.match(text, at + 1).end()
+    if spaced in RUSSIAN_BEFORE_A_CAPITAL:
+        return text[follow : follow + 1].islower()
+    # The first stop of a spaced form; the second one says whether it ends the sentence.
+    if low == "т" and text[follow + 1 : follow + 2] == "." and f"т.{text[follow].lower()}" in RUSSIAN_ABBREVIATIONS | RUSSIAN_BEFORE_A_CAPITAL:
         return True
-    return len(word) == 1 and word.isupper() and nxt == " " and follow[:1].isupper() and len(_word_before(text, at)) == 1 and (not before[:-1] or before[-2:-1] in " (.")
+    return len(word) == 1 and word.isupper() and nxt == " " and text[follow : follow + 1].isupper() and (at == 1 or text[at - 2] in " (.")
 
 
 def marks_of(text: str) -> list[Mark]:
     """Where points may end, in order."""
     found, at, depth, quoted = [], 0, 0, False
     links = [m.span() for m in _LINK.finditer(text)]
+    opened = [a for a, _ in links]
+    opens_a_line = True  # whether a heading may start here: after a line end, a sentence end or a breaking tag, blanks and other tags aside
     while at < len(text):
         c = text[at]
         if c == "[" and (tag := tag_at(text, at)):
             name = tag.group(2).lower()
-            if name in BREAKING_TAGS or (re.fullmatch(r"h[1-3]", name) and not tag.group(1) and _opens_a_line(text, at)):
+            if name in BREAKING_TAGS or (re.fullmatch(r"h[1-3]", name) and not tag.group(1) and opens_a_line):
                 found.append(Mark("tag", at, tag.end()))
+            opens_a_line = opens_a_line or name in BREAKING_TAGS
             at = tag.end()
             continue
+        if c not in " \t":
+            opens_a_line = c == "\n" or c in TERMINATORS
         if c == "\n":
             found.append(Mark("line", at, at + 1))
             depth, quoted = 0, False
@@ -167,13 +201,14 @@ def marks_of(text: str) -> list[Mark]:
             depth += 1
         elif c in _CLOSE:
             depth = max(0, depth - 1)
-        elif c in TERMINATORS and not quoted and not depth and not any(a <= at < b - 1 for a, b in links):
+        elif c in TERMINATORS and not quoted and not depth and not ((k := bisect_right(opened, at)) and at < links[k - 1][1] - 1):
             end = at + 1
             while end < len(text) and text[end] in TERMINATORS:
                 end += 1
             run = text[at:end]
             while end < len(text) and text[end] in _CLOSE + "\"'’":
                 end += 1
+            opens_a_line = text[end - 1] in TERMINATORS
             follow = without_tags(text[end : end + 40]).lstrip(" \t")
             wide = run[-1] in "。！？۔।"
             spaced = end >= len(text) or text[end].isspace() or text[end] == "[" or wide
@@ -186,12 +221,6 @@ def marks_of(text: str) -> list[Mark]:
     return found
 
 
-def _opens_a_line(text: str, at: int) -> bool:
-    """Whether a heading tag stands where a new point may: after a line end, a tag or a sentence end."""
-    before = without_tags(text[:at]).rstrip(" \t")
-    return not before or before[-1] in TERMINATORS + "\n" or bool(re.search(r"\[/?(?:" + "|".join(map(re.escape, BREAKING_TAGS)) + r")\]\s*$", text[:at]))
-
-
 def pieces_of(text: str) -> list[tuple[int, int, str]]:
     """(start, end, what ended it) of every piece."""
     out, start = [], 0
@@ -310,10 +339,16 @@ def split(text: str) -> list[tuple[int, int, str]]:
                 rough.append(span)
         whole = joined(text, rough) if rough else []
         spans = [((a, b), cleaned(text[a:b])) for span in whole if (t := tidied(text, *span)) for a, b in listed(text, *t)]
-    out = []
-    for (a, b), claim in spans:
-        if claim and not says_nothing(claim):
-            out.append((len(text[:a].encode("utf-8", "surrogatepass")), len(text[:b].encode("utf-8", "surrogatepass")), claim))
+    bytes_to = _byte_places(text, sorted({p for span, _ in spans for p in span}))
+    return [(bytes_to[a], bytes_to[b], claim) for (a, b), claim in spans if claim and not says_nothing(claim)]
+
+
+def _byte_places(text: str, places: list[int]) -> dict[int, int]:
+    """The byte offset of each of some rising places, in one pass."""
+    out, at, size = {}, 0, 0
+    for place in places:
+        size += len(text[at:place].encode("utf-8", "surrogatepass"))
+        out[place], at = size, place
     return out
 
 

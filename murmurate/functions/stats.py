@@ -64,8 +64,8 @@ def log_odds(here: Column, of: Column, there: Column, of_other: Column) -> tuple
 
 
 def nearly(left: Column, right: Column) -> Column:
-    """Whether two counts are within a twentieth of each other, either way."""
-    return (left * 20 <= right * 21) & (right * 20 <= left * 21)
+    """Whether each of two counts is at least nineteen twentieths of the other."""
+    return (left * 20 >= right * 19) & (right * 20 >= left * 19)
 
 
 def corrected(observed: Column, labelled: Column, read: Column, agreed: Column, seen: Column, least: int = 40, gap: float = 0.1) -> Column:

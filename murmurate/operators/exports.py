@@ -69,5 +69,4 @@ def terms_shown(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = counts.where(F.col("reviews") >= terms.LEAST_REVIEWS).join(F.broadcast(sizes), "quality")
     delta, v = log_odds(F.col("reviews"), F.col("of"), F.col("everywhere") - F.col("reviews"), F.col("all") - F.col("of"))
     df = df.withColumn("z", delta / F.sqrt(v)).where((delta >= F.log(F.lit(2.0))) & (F.col("z") >= 2))
-    best = df.withColumn("n", F.row_number().over(R.W.partitionBy("quality").orderBy(F.desc("z"), "term"))).where("n <= 200")
-    return terms.merged_terms(best.select("quality", "term", "reviews", "z"), ["quality"])
+    return terms.merged_terms(df.select("quality", "term", "reviews", "z"), ["quality"])
