@@ -143,4 +143,6 @@ def numbers_in(text: Column) -> Column:
 
 def bigrams(text: Column) -> Column:
     """Overlapping pairs of characters, for runs of scripts without blanks."""
-    return F.when(F.length(text) >= 2, F.transform(F.sequence(F.lit(1), F.length(text) - 1), lambda i: F.substr(text, i, F.lit(2)))).otherwise(F.array().cast("array<string>"))
+    chars = F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0))
+    pairs = lambda c: F.zip_with(F.slice(c, 1, F.greatest(F.size(c) - 1, F.lit(0))), F.slice(c, 2, F.greatest(F.size(c) - 1, F.lit(0))), lambda a, b: F.concat(a, b))
+    return F.element_at(F.transform(F.array(chars), pairs), 1)

@@ -88,7 +88,9 @@ def before_after(spark: SparkSession, sf_dir: str) -> DataFrame:
     after = F.col("after")
     totals = met.groupBy("name", "posted").agg(F.count_if(~after).alias("of_before"), F.count_if(after).alias("of_after"), F.count_if(~after & F.col("voted_up")).alias("up_before"), F.count_if(after & F.col("voted_up")).alias("up_after"))
     counts = [F.count_if((after if when == "after" else ~after) & F.col(side)).alias(f"{side}_{when}") for side in ("praise", "complaint") for when in ("before", "after")]
-    found = met.join(A.sides(A.claims(spark, sf_dir)), "review").groupBy("name", "subject").agg(*counts)
+    # Only claims of reviews within a window are summed up.
+    near = A.claims(spark, sf_dir).join(met.select("review").distinct(), "review", "left_semi")
+    found = met.join(A.sides(near), "review").groupBy("name", "subject").agg(*counts)
     held = reviews.agg((F.max("created") + 1).alias("held_until"))
     df = found.join(totals, "name").join(F.broadcast(held))
     z = {s: errors_apart(F.col(f"{s}_before"), F.col("of_before"), F.col(f"{s}_after"), F.col("of_after")) for s in ("praise", "complaint")}
@@ -122,7 +124,13 @@ def spaced(df: DataFrame, rank: str, at: str, most: int, apart: int, by: str) ->
     return df.groupBy(by).applyInPandas(pick, df.schema)
 
 
-@register("biggest_updates")
+@register("biggest_updates", A.with_views("reviews", "updates", body=f"""--and
+m AS (SELECT game, name, posted, count(*) AS reviews FROM reviews JOIN updates ON created >= posted AND created < posted + {WINDOW} GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY game ORDER BY reviews DESC, posted) AS place FROM m),
+k(game, place, kept) AS (
+  SELECT DISTINCT game, CAST(0 AS BIGINT), CAST([] AS BIGINT[]) FROM r
+  UNION ALL SELECT k.game, k.place + 1, CASE WHEN len(kept) < 4 AND len(list_filter(kept, lambda p: abs(p - r.posted) < {WINDOW})) = 0 THEN list_append(kept, r.posted) ELSE kept END FROM k JOIN r ON r.game = k.game AND r.place = k.place + 1)
+SELECT r.game, name, posted, reviews FROM r JOIN (SELECT game, arg_max(kept, place) AS kept FROM k GROUP BY game) USING (game) WHERE list_contains(kept, posted)""").replace("WITH ", "WITH RECURSIVE ", 1))
 def biggest_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each game's four updates with the most reviews after them, 28 days from each other."""
     met = around(A.reviews(spark, sf_dir).select("review", "created", "game"), A.updates(spark)).where("after")
@@ -198,7 +206,8 @@ def month_running(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select("game", "month", "raising", F.sum("raising").over(w.rowsBetween(W.unboundedPreceding, 0)).alias("so_far"), F.lag("raising").over(w).alias("month_before"))
 
 
-@register("since_totals", None)
+@register("since_totals", A.with_views("reviews", "sides", body=f"""
+SELECT subject, CAST(count(*) - count(*) FILTER (strftime(make_timestamp(created * 1000000), '%Y-%m') <= '{SEEN}') AS BIGINT) AS new FROM sides JOIN reviews USING (review) GROUP BY subject"""))
 def since_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The difference of two snapshots of the monthly rollup, never under zero, as a page that was seen before shows it."""
     now = monthly(A.reviews(spark, sf_dir), A.sides(A.claims(spark, sf_dir))).groupBy("subject").agg(F.sum("raising").alias("now"))

@@ -24,8 +24,7 @@ SELECT round(threshold, 2) AS threshold, answered, round(answered / n, 9) AS cov
 def risk_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Coverage and accuracy at thresholds 0.05 to 0.99, from one count a confidence level."""
     levels = A.scored(spark, sf_dir).groupBy("confidence").agg(F.count(F.lit(1)).alias("n"), F.count_if("correct").alias("right"))
-    total = W.partitionBy(F.lit(0))
-    levels = levels.withColumn("all", F.sum("n").over(total))
+    levels = levels.join(F.broadcast(levels.agg(F.sum("n").alias("all"))))
     grid = levels.withColumn("step", F.explode(F.sequence(F.lit(5), F.lit(99)))).withColumn("threshold", F.col("step") / 100)
     hit = F.col("confidence") >= F.col("threshold")
     df = grid.groupBy("threshold").agg(F.sum(F.when(hit, F.col("n")).otherwise(0)).alias("answered"), F.sum(F.when(hit, F.col("right")).otherwise(0)).alias("right"), F.first("all").alias("all"))
@@ -33,10 +32,22 @@ def risk_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
                      F.round(F.when(F.col("answered") > 0, F.col("right") / F.col("answered")), 9).alias("accuracy"))
 
 
+#: Cells of the confidence scale that running counts are kept in; levels are ordered within a cell only.
+CELLS = 4096
+
+
 def cumulative(levels: DataFrame, *by: str) -> DataFrame:
-    """Running counts from the highest confidence down, a block of ties at once; from (confidence, n, right)."""
-    w = W.partitionBy(*by or [F.lit(0)]).orderBy(F.desc("confidence")).rowsBetween(W.unboundedPreceding, 0)
-    return levels.withColumn("answered", F.sum("n").over(w)).withColumn("right_so_far", F.sum("right").over(w))
+    """Running counts from the highest confidence down, a block of ties at once; from (confidence, n, right).
+
+    In two steps: cells of the scale are summed up first, at most ``CELLS`` rows a group, and then levels within each.
+    """
+    df = levels.withColumn("cell", F.floor(F.col("confidence") * CELLS))
+    down = W.partitionBy(*by or [F.lit(0)]).orderBy(F.desc("cell")).rowsBetween(W.unboundedPreceding, -1)
+    cells = df.groupBy(*by, "cell").agg(F.sum("n").alias("n_cell"), F.sum("right").alias("right_cell"))
+    cells = cells.select(*by, "cell", *[F.coalesce(F.sum(f"{c}_cell").over(down), F.lit(0)).alias(f"{c}_above") for c in ("n", "right")])
+    w = W.partitionBy(*by, "cell").orderBy(F.desc("confidence")).rowsBetween(W.unboundedPreceding, 0)
+    df = df.join(cells, [*by, "cell"])
+    return df.withColumn("answered", F.col("n_above") + F.sum("n").over(w)).withColumn("right_so_far", F.col("right_above") + F.sum("right").over(w)).drop("cell", "n_above", "right_above")
 
 
 _LEVELS = """l AS (SELECT confidence, count(*) AS n, count(*) FILTER (correct) AS r FROM scored GROUP BY confidence),
@@ -51,7 +62,8 @@ def confidence_levels(scored: DataFrame, *by: str) -> DataFrame:
 SELECT round(sum(n * (1 - right_ / answered)) / sum(n), 9) AS aurc, round(sum(n * (answered - right_) / (SELECT count(*) FROM scored)) / sum(n), 9) AS augrc FROM c"""))
 def risk_areas(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The areas under the risk-coverage curve and its generalised form; ties count as one block."""
-    df = cumulative(confidence_levels(A.scored(spark, sf_dir))).withColumn("all", F.sum("n").over(W.partitionBy(F.lit(0))))
+    df = cumulative(confidence_levels(A.scored(spark, sf_dir)))
+    df = df.join(F.broadcast(df.agg(F.sum("n").alias("all"))))
     risk = F.sum(F.col("n") * (1 - F.col("right_so_far") / F.col("answered"))) / F.sum("n")
     general = F.sum(F.col("n") * (F.col("answered") - F.col("right_so_far")) / F.col("all")) / F.sum("n")
     return df.agg(F.round(risk, 9).alias("aurc"), F.round(general, 9).alias("augrc"))
@@ -233,7 +245,15 @@ def run_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.groupBy("config").agg(F.count(F.lit(1)).alias("runs"), F.round(F.max("c") - F.min("c"), 9).alias("spread"), F.round(F.avg("c"), 9).alias("mean"), F.min_by("seed", F.struct(-F.col("c"), F.col("seed"))).alias("best"))
 
 
-@register("game_interval")
+DRAWS = 400
+
+
+@register("game_interval", A.with_views("scored", body=f"""--and
+g AS (SELECT row_number() OVER (ORDER BY game) - 1 AS slot, count(*) OVER () AS slots, n, a, r FROM (
+  SELECT game, count(*) AS n, count(*) FILTER (confidence >= 0.2::DOUBLE) AS a, count(*) FILTER (confidence >= 0.2::DOUBLE AND correct) AS r FROM scored GROUP BY game)),
+p AS (SELECT draw, CAST('0x' || substr(md5('17:' || draw || ':' || slot), 1, 8) AS BIGINT) % slots AS slot FROM g, (SELECT unnest(range({DRAWS})) AS draw)),
+d AS (SELECT draw, sum(a) / sum(n) AS coverage, sum(r) / sum(a) AS accuracy FROM p JOIN g USING (slot) GROUP BY draw)
+SELECT round(quantile_cont(coverage, 0.025), 9) AS coverage_low, round(quantile_cont(coverage, 0.975), 9) AS coverage_high, round(quantile_cont(accuracy, 0.025), 9) AS accuracy_low, round(quantile_cont(accuracy, 0.975), 9) AS accuracy_high FROM d"""))
 def game_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bootstrap over whole games: 2.5 and 97.5 percentiles of coverage and accuracy over 400 draws.
 
@@ -244,12 +264,11 @@ def game_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
     games = s.groupBy("game").agg(F.count(F.lit(1)).alias("n"), F.count_if(hit).alias("a"), F.count_if(hit & F.col("correct")).alias("r"))
     whole = W.partitionBy(F.lit(0))
     games = games.withColumn("slot", F.row_number().over(whole.orderBy("game")) - 1).withColumn("slots", F.count(F.lit(1)).over(whole))
-    size = games.select("slots").limit(1)
-    picks = spark.range(400).withColumnRenamed("id", "draw").join(F.broadcast(size)).select("draw", "slots", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slots") - 1)).alias("k"))
-    picks = picks.withColumn("slot", F.pmod(F.xxhash64(F.lit(17), "draw", "k"), F.col("slots")).cast("int")).drop("slots")
+    picks = games.select("slot", "slots").withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(DRAWS - 1))))
+    digest = F.md5(F.concat_ws(":", F.lit("17"), F.col("draw").cast("string"), F.col("slot").cast("string")))
+    picks = picks.select("draw", (F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") % F.col("slots")).alias("slot"))
     drawn = picks.join(F.broadcast(games), "slot").groupBy("draw").agg((F.sum("a") / F.sum("n")).alias("coverage"), (F.sum("r") / F.sum("a")).alias("accuracy"))
-    ends = F.array(F.lit(0.025), F.lit(0.975))
-    return drawn.agg(F.percentile("coverage", ends).alias("coverage"), F.percentile("accuracy", ends).alias("accuracy"))
+    return drawn.agg(*[F.round(F.percentile(c, p), 9).alias(f"{c}_{end}") for c in ("coverage", "accuracy") for p, end in ((0.025, "low"), (0.975, "high"))])
 
 
 @register("commonest_class", A.with_views("scored", body="""--and

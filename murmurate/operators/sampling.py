@@ -31,6 +31,19 @@ def placed(df: DataFrame, by: list[str], *order) -> DataFrame:
     return df.withColumn("place", F.row_number().over(W.partitionBy(*by).orderBy(*order)))
 
 
+def numbered(df: DataFrame, cell: Column, *order, name: str = "place") -> DataFrame:
+    """df with the place of each row in an order, from 1, though no task sees all rows.
+
+    ``cell`` must rise with the order, such as the first digits of a hash or an id's thousands: cells are counted and
+    summed up on a small table, and rows are ordered within their cell.
+    """
+    cut = df.withColumn("cell_of", cell)
+    before = F.coalesce(F.sum("n").over(W.partitionBy(F.lit(0)).orderBy("cell_of").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    sums = cut.groupBy("cell_of").agg(F.count(F.lit(1)).alias("n")).select("cell_of", before.alias("before_cell"))
+    within = F.row_number().over(W.partitionBy("cell_of").orderBy(*order))
+    return cut.withColumn("within", within).join(sums, "cell_of").withColumn(name, F.col("before_cell") + F.col("within")).drop("cell_of", "before_cell", "within")
+
+
 @register("hash_sample", A.with_views("reviews", body=f"SELECT review FROM reviews ORDER BY {hash_rank_sql(1, 'claims', 'review')} LIMIT 200"))
 def hash_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A sample of 200 reviews that depends on ids alone."""
@@ -53,9 +66,10 @@ def stratified_draw(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT doc_id FROM twice QUALIFY row_number() OVER (ORDER BY {hash_rank_sql(1, 'second-opinion', 'doc_id')}) <= round(0.1::DOUBLE * count(*) OVER ())"""))
 def second_opinion_draw(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A tenth of the labelled items, for a second labeller."""
-    t = A.labelled_twice(spark, sf_dir).select("doc_id", F.count(F.lit(1)).over(W.partitionBy(F.lit(0))).alias("n"))
-    p = t.withColumn("place", F.row_number().over(W.partitionBy(F.lit(0)).orderBy(hash_rank(1, "second-opinion", F.col("doc_id")))))
-    return p.where(F.col("place") <= F.round(0.1 * F.col("n"))).select("doc_id")
+    rank = hash_rank(1, "second-opinion", F.col("doc_id"))
+    t = A.labelled_twice(spark, sf_dir).select("doc_id")
+    p = numbered(t, F.substring(rank, 1, 3), rank)
+    return p.join(F.broadcast(t.agg(F.count(F.lit(1)).alias("n")))).where(F.col("place") <= F.round(0.1 * F.col("n"))).select("doc_id")
 
 
 @register("declined_draw", A.with_views("reviews", "claims", body=f"""--and
@@ -185,7 +199,7 @@ def capped_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 def label_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Items handed out in batches of 25, in the order of ids."""
     t = A.labelled_twice(spark, sf_dir).where("NOT only_first")
-    return t.select("doc_id", F.floor((F.row_number().over(W.partitionBy(F.lit(0)).orderBy("doc_id")) - 1) / 25).alias("batch"))
+    return numbered(t.select("doc_id"), F.floor(F.col("doc_id") / 4096), "doc_id").select("doc_id", F.floor((F.col("place") - 1) / 25).alias("batch"))
 
 
 @register("gold_draw", A.with_views("docs", "twice", body=f"""--and
@@ -205,7 +219,8 @@ def gold_draw(spark: SparkSession, sf_dir: str) -> DataFrame:
 def rejudge_draw(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Items whose two answers differ, numbered by language and id."""
     t = A.labelled_twice(spark, sf_dir).where("first <> second AND NOT only_second")
-    return t.select("doc_id", "first", "second", F.row_number().over(W.partitionBy(F.lit(0)).orderBy("language", "doc_id")).alias("question"))
+    cell = F.struct("language", F.floor(F.col("doc_id") / 4096).alias("thousands"))
+    return numbered(t.select("doc_id", "first", "second", "language"), cell, "language", "doc_id", name="question").drop("language")
 
 
 @register("asked_one_in", A.with_views("claims", body="""

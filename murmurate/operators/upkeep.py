@@ -3,12 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from murmurate.functions.stats import wilson, wilson_sql
 from murmurate.operators.evaluate import confidence_levels, most_coverage
-from murmurate.operators.sampling import ROLE_SQL, role
+from murmurate.operators.sampling import ROLE_SQL, numbered, role
 from murmurate.plans import adapters as A
 from murmurate.registry import register
 from murmurate.session import table
@@ -23,7 +22,8 @@ def censored_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("hit"), F.col("p_name").alias("words"), F.col("p_brand").alias("brand"))
     marked = k.where("hit % 5 = 0").select(F.col("hit").alias("id"), "brand", F.regexp_replace("words", "[aeiou]", "♥").alias("marked"))
     same = F.forall(F.zip_with(F.split("marked", ""), F.split("words", ""), lambda a, b: (a == b) | (a == "♥")), lambda x: F.coalesce(x, F.lit(False)))
-    met = marked.join(k, "brand").where((F.length("words") == F.length("marked")) & same)
+    # By group and length, so that no group's texts all meet.
+    met = marked.withColumn("size", F.length("marked")).join(k.withColumn("size", F.length("words")), ["brand", "size"]).where(same)
     found = met.groupBy("id").agg(F.min("hit").alias("first"), F.count("hit").alias("hits"))
     return marked.join(found, "id", "left").select("id", F.when(F.col("hits") == 1, F.col("first")).alias("matched"), F.coalesce("hits", F.lit(0)).alias("hits"))
 
@@ -100,8 +100,8 @@ SELECT CASE WHEN part < 0.2::DOUBLE THEN 'held-out' WHEN part < 0.35::DOUBLE THE
 def game_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts and folds that keep all of an author together, and how much each holds."""
     a = A.reviews(spark, sf_dir).groupBy("author").agg(F.count(F.lit(1)).alias("reviews"))
-    place = F.row_number().over(W.partitionBy(F.lit(0)).orderBy(F.sha2(F.concat(F.lit("fold:1:"), F.col("author").cast("string")), 256))) - 1
-    s = a.select(role(F.col("author")).alias("role"), (place % 5).alias("fold"), "reviews")
+    rank = F.sha2(F.concat(F.lit("fold:1:"), F.col("author").cast("string")), 256)
+    s = numbered(a, F.substring(rank, 1, 3), rank).select(role(F.col("author")).alias("role"), ((F.col("place") - 1) % 5).alias("fold"), "reviews")
     return s.groupBy("role", "fold").agg(F.count(F.lit(1)).alias("authors"), F.sum("reviews").alias("reviews"))
 
 

@@ -81,14 +81,41 @@ s AS (SELECT vec_id, max({_COS.format(a='v', b='q')}) FILTER (ql < 2) AS rare, m
 SELECT vec_id, round(rare - common, 9) AS margin, CAST(trunc((2 - greatest(-2.0::DOUBLE, least(2.0::DOUBLE, round(rare - common, 9)))) * 1000) AS BIGINT) AS key FROM s""")
 def rare_margins(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How much closer each vector is to its nearest labelled query of a rare subject than to one of a common one."""
-    v = table(spark, sf_dir, "embeddings").select("vec_id", "label", as_double(F.col("embedding")).alias("v"))
-    q = v.where("vec_id % 25 = 0").select(F.col("label").alias("ql"), F.col("v").alias("q"))
-    s = v.where("vec_id % 25 <> 0").join(F.broadcast(q)).select("vec_id", "ql", cosine(F.col("v"), F.col("q")).alias("c"))
-    df = s.groupBy("vec_id").agg((F.max(F.when(F.col("ql") < 2, F.col("c"))) - F.max(F.when(F.col("ql") >= 2, F.col("c")))).alias("m")).withColumn("margin", F.round("m", 9))
+    v = table(spark, sf_dir, "embeddings").select("vec_id", (F.col("label") < 2).alias("rare"), as_double(F.col("embedding")).alias("v"))
+    s = best_by_kind(v.where("vec_id % 25 <> 0"), v.where("vec_id % 25 = 0"))
+    df = s.where("of_rare IS NOT NULL AND of_common IS NOT NULL").withColumn("margin", F.round(F.col("of_rare") - F.col("of_common"), 9))
     key = ((2 - F.greatest(F.lit(-2.0), F.least(F.lit(2.0), F.col("margin")))) * 1000).cast("long")
     return df.select("vec_id", "margin", key.alias("key"))
 
 
+#: Vectors and queries that a task holds at once.
+ROWS_BLOCK, ASKS_BLOCK = 8192, 2048
+
+
+def best_by_kind(vectors: DataFrame, queries: DataFrame) -> DataFrame:
+    """(vec_id, of_rare, of_common): each vector's greatest cosine with the queries of either kind.
+
+    Blocks of vectors meet blocks of queries, a product of two bounded tables a task; nothing is broadcast, and a row a
+    vector and block of queries comes out.
+    """
+    many, asks = (max(1, -(-df.count() // size)) for df, size in ((vectors, ROWS_BLOCK), (queries, ASKS_BLOCK)))
+    spread = lambda df, own, of, other, over: df.withColumn(own, F.pmod(F.xxhash64("vec_id"), F.lit(of)).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(over - 1))))
+    left, right = spread(vectors, "row_block", many, "ask_block", asks), spread(queries, "ask_block", asks, "row_block", many)
+
+    def product(mine: pd.DataFrame, theirs: pd.DataFrame) -> pd.DataFrame:
+        if not len(mine) or not len(theirs):
+            return pd.DataFrame({"vec_id": [], "of_rare": [], "of_common": []}).astype({"vec_id": "int64", "of_rare": float, "of_common": float})
+        near = _units(mine["v"]) @ _units(theirs["v"]).T
+        rare = theirs["rare"].to_numpy(bool)
+        best = lambda mask: near[:, mask].max(axis=1) if mask.any() else np.full(len(mine), np.nan)
+        return pd.DataFrame({"vec_id": mine["vec_id"], "of_rare": best(rare), "of_common": best(~rare)})
+
+    key = ["row_block", "ask_block"]
+    met = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(product, "vec_id long, of_rare double, of_common double")
+    top = lambda c: F.max(F.when(~F.isnan(c), F.col(c))).alias(c)
+    return met.groupBy("vec_id").agg(top("of_rare"), top("of_common"))
+
+
 @register("nearest_centroid_baseline", f"""
 WITH t AS (SELECT label, list(v ORDER BY i) AS mean FROM (SELECT label, i, avg(embedding[i]::DOUBLE) AS v FROM embeddings, (SELECT unnest(range(1, 65)) AS i) WHERE vec_id % 4 <> 0 GROUP BY ALL) GROUP BY label),
 v AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings WHERE vec_id % 4 = 0),
