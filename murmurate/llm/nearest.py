@@ -253,22 +253,27 @@ class _Block:
         self.kind = kind
         buckets = np.array([b for b, *_ in vectors], np.int64)
         order = np.argsort(buckets, kind="stable")
-        self.buckets = buckets[order]
-        self.ids = np.array([vectors[n][1] for n in order], np.int64)
-        self.raw = [vectors[n][2] for n in order]
+        self.buckets, self.ids = buckets[order], np.array([key for _, key, _ in vectors], np.int64)[order]
+        # A table a dimension, and each vector's row in its own.
+        self.sizes = np.array([len(raw) for *_, raw in vectors], np.int64)[order]
+        self.tables, self.row = {}, np.zeros(len(order), np.int64)
+        for size in np.unique(self.sizes).tolist():
+            mine = np.flatnonzero(self.sizes == size)
+            self.tables[size] = np.frombuffer(b"".join([vectors[n][2] for n in order[mine].tolist()]), kind).reshape(len(mine), -1)
+            self.row[mine] = np.arange(len(mine))
 
     def nearest(self, key: int, buckets, raw: bytes, k: int):
         """The query's nearest among the vectors of the buckets, in bounded steps."""
         asked = np.sort(np.asarray(buckets, np.int64))
         first, last = np.searchsorted(self.buckets, asked, "left"), np.searchsorted(self.buckets, asked, "right")
-        at = np.concatenate([np.arange(a, z) for a, z in zip(first, last, strict=True) if z > a] or [np.zeros(0, int)])
+        widths = last - first
+        at = np.repeat(first - np.cumsum(widths) + widths, widths) + np.arange(widths.sum())
+        at = at[self.sizes[at] == len(raw)]
         at = at[np.unique(self.ids[at], return_index=True)[1]]
         query = np.frombuffer(raw, self.kind).astype(float)[None, :]
         for a in range(0, len(at), UNIT):
-            mine = [n for n in at[a : a + UNIT].tolist() if len(self.raw[n]) == len(raw)]
-            if mine:
-                x = np.frombuffer(b"".join([self.raw[n] for n in mine]), self.kind).reshape(len(mine), -1).astype(float)
-                yield from _nearest(query, np.array([key]), x, self.ids[mine], k)
+            part = at[a : a + UNIT]
+            yield from _nearest(query, np.array([key]), self.tables[len(raw)][self.row[part]].astype(float), self.ids[part], k)
 
 
 def exact(vectors: DataFrame, is_query, vec_id: str = "vec_id", embedding: str = "embedding", k: int = 10) -> list[tuple[int, int, int, float]]:
