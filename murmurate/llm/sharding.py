@@ -133,7 +133,7 @@ class ShardStore:
             self._forget({folder})
             return []
         schema = df.drop(by).schema if by else df.schema
-        counted = self.spark.read.schema(schema).parquet(*[f"{self.root}/{folder}/{f}" for f, _ in files]).groupBy(F.col("_metadata.file_path").alias("f")).count()
+        counted = self.spark.read.schema(schema).parquet(*[f"{self.root}/{folder}/{f}" for f, _ in files]).groupBy(F.input_file_name().alias("f")).count()
         rows = {"/".join(r["f"].split("/")[-1 if by is None else -2 :]): r["count"] for r in counted.collect()}  # a row a file
         return [Shard(f"{folder}/{name}", size, rows[name], level, arrival + k) for k, (name, size) in enumerate(files) if rows.get(name)]
 
@@ -260,6 +260,6 @@ def placed(store: ShardStore, manifest: Manifest, columns: list, schema=None) ->
     lines = [("/".join(s.path.split("/")[1:]), n, s.level, s.bytes, s.rows) for n, s in enumerate(manifest.shards)]
     table = spark.createDataFrame(lines, "shard_file string, shard_id int, level int, shard_bytes long, shard_rows long")
     rows = store.read(manifest, schema)
-    at = F.regexp_extract("_metadata.file_path", "/data/([^/]+/.*)$", 1) if manifest.shards else F.lit(None).cast("string")
+    at = F.regexp_extract(F.input_file_name(), "/data/([^/]+/.*)$", 1) if manifest.shards else F.lit(None).cast("string")
     rows = rows.select(*columns, at.alias("file_of"))
     return rows.join(table, F.col("file_of") == F.col("shard_file")).drop("file_of", "shard_file")

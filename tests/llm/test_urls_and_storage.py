@@ -128,6 +128,16 @@ def test_arrivals_of_one_pass(spark, tmp_path):
     assert store.append_each(rows.limit(0), "arrival").version == after.version
 
 
+def test_columns_with_names_of_the_store(spark, tmp_path):
+    store = store_of(spark, tmp_path, smallest=10, fan_in=2)
+    rows = spark.createDataFrame([(k, "m", "f", k, None) for k in range(6)], "id int, _metadata string, file_of string, shard_id int, level int")
+    for k in range(3):
+        store.append(rows.where(f"id % 3 = {k}").coalesce(1))
+    after = store.compact()
+    assert len(after.shards) == 1 and sorted(map(tuple, store.read().collect())) == sorted(map(tuple, rows.collect()))
+    assert {(r["id"], r["shard_rows"]) for r in sharding.placed(store, after, ["id"]).collect()} == {(k, 6) for k in range(6)}
+
+
 def test_vacuum_spares_what_is_about_to_be_committed(spark, tmp_path):
     store = store_of(spark, tmp_path)
     store.append(spark.range(5).toDF("k"))
