@@ -24,5 +24,5 @@ def register(name: str, sql: str | None = None):
 
 def load() -> None:
     """Import every module that registers queries."""
-    from murmurate.operators import captures, changes, evaluate, exports, labels, prepared, rollups, rows, sampling, sets, shards, texts, upkeep, vectors  # noqa: F401
+    from murmurate.operators import captures, changes, evaluate, exports, keeping, labels, prepared, rollups, rows, sampling, sets, shards, texts, upkeep, vectors  # noqa: F401
     from murmurate.streaming import sweeps  # noqa: F401
