@@ -260,17 +260,36 @@ def segment_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
                      ((F.col("reviews") >= SEGMENT_FLOOR) & (F.col("other_reviews") >= SEGMENT_FLOOR)).alias("enough"))
 
 
-@register("segment_findings", A.with_views("reviews", "sides", body="--and\n" + _GRID_SQL + f""",
+#: How clear and how wide a gap between a kind of reviewer and the rest must be to be a finding.
+FINDING_BAR, FINDING_GAP = 4.0, 0.02
+
+
+def _findings_sql(bar: float, gap: float) -> str:
+    return A.with_views("reviews", "sides", body="--and\n" + _GRID_SQL + f""",
 l AS (SELECT split, kind, subject, 'praises' AS what, praises AS n, reviews, other_praises AS other_n, other_reviews, {errors_apart_sql('other_praises', 'other_reviews', 'praises', 'reviews')} AS z FROM o
       UNION ALL SELECT split, kind, subject, 'complains', complains, reviews, other_complains, other_reviews, {errors_apart_sql('other_complains', 'other_reviews', 'complains', 'reviews')} FROM o)
 SELECT kind, subject, what, round(z, 6) AS z, round(n / reviews - other_n / other_reviews, 9) AS gap FROM l
-WHERE reviews >= 100 AND other_reviews >= 100 AND abs(z) >= 1.5::DOUBLE AND abs(n / reviews - other_n / other_reviews) >= 0.005::DOUBLE AND kind NOT IN ('elsewhere', 'after-release', 'paid-for-it') AND subject <> 'Brand#55'"""))
-def segment_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Gaps at bars low enough for the test tables (the usual ones: four errors and two points), two-way splits tested once and one subject left out, clearest first."""
-    df = against_the_rest(spark, sf_dir).where((F.col("reviews") >= SEGMENT_FLOOR) & (F.col("other_reviews") >= SEGMENT_FLOOR) & (F.col("subject") != "Brand#55") & ~F.col("kind").isin(*[no for *_, no in FLAGS]))
+WHERE reviews >= 100 AND other_reviews >= 100 AND abs(z) >= {bar}::DOUBLE AND abs(n / reviews - other_n / other_reviews) >= {gap}::DOUBLE AND kind NOT IN ('elsewhere', 'after-release', 'paid-for-it') AND subject <> 'Brand#55'""")
+
+
+def findings(grid: DataFrame, bar: float = FINDING_BAR, gap: float = FINDING_GAP, floor: int = SEGMENT_FLOOR, left_out: tuple[str, ...] = ()) -> DataFrame:
+    """Clear gaps of a grid of kinds against the rest, two-way splits tested once and some subjects left out, clearest first."""
+    df = grid.where((F.col("reviews") >= floor) & (F.col("other_reviews") >= floor) & ~F.col("subject").isin(*left_out) & ~F.col("kind").isin(*[no for *_, no in FLAGS]))
     sides = F.explode(F.array(*[F.struct(F.lit(n).alias("what"), F.col(f"z_{n}").alias("z"), (F.col(f"n_{n}") / F.col("reviews") - F.col(f"other_{n}") / F.col("other_reviews")).alias("gap")) for n in ("praises", "complains")]))
     df = df.select("kind", "subject", sides.alias("x")).select("kind", "subject", "x.what", "x.z", "x.gap")
-    return df.where((F.abs("z") >= 1.5) & (F.abs("gap") >= 0.005)).orderBy(F.desc(F.abs("z"))).select("kind", "subject", "what", F.round("z", 6).alias("z"), F.round("gap", 9).alias("gap"))
+    return df.where((F.abs("z") >= bar) & (F.abs("gap") >= gap)).orderBy(F.desc(F.abs("z"))).select("kind", "subject", "what", F.round("z", 6).alias("z"), F.round("gap", 9).alias("gap"))
+
+
+@register("segment_findings", _findings_sql(FINDING_BAR, FINDING_GAP))
+def segment_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a kind of reviewer says clearly more or less than the rest."""
+    return findings(against_the_rest(spark, sf_dir), left_out=("Brand#55",))
+
+
+@register("segment_findings_low", _findings_sql(1.5, 0.005))
+def segment_findings_low(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same at bars low enough for small tables to have findings."""
+    return findings(against_the_rest(spark, sf_dir), 1.5, 0.005, left_out=("Brand#55",))
 
 
 _SHARE_LOW = "least(1.0::DOUBLE, greatest(0.0::DOUBLE, {m} - 1.959963985::DOUBLE * sqrt({v}) / k))"

@@ -31,6 +31,26 @@ def search_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy("lang").agg(F.count(F.lit(1)).alias("documents"), F.sum(F.size("forms")).alias("hits"))
 
 
+@register("search_sides", "WITH " + _FOUND + """, q AS (SELECT doc_id, any_value(quality) AS quality FROM labels GROUP BY doc_id)
+SELECT source AS subject, count(DISTINCT doc_id) AS documents, count(*) AS hits, count(DISTINCT doc_id) FILTER (quality = 1) AS good, count(DISTINCT doc_id) FILTER (quality = 0) AS poor FROM h LEFT JOIN q USING (doc_id) GROUP BY source""")
+def search_sides(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that say a phrase by subject, and how many of either side say it."""
+    found = said(A.documents(spark, sf_dir).select("doc_id", "text", "source", "quality"), PHRASE)
+    return found.groupBy(F.col("source").alias("subject")).agg(F.count(F.lit(1)).alias("documents"), F.sum(F.size("forms")).alias("hits"), F.count_if(F.col("quality") == 1).alias("good"), F.count_if(F.col("quality") == 0).alias("poor"))
+
+
+@register("term_sides", r"""
+WITH q AS (SELECT doc_id, any_value(quality) AS quality FROM labels GROUP BY doc_id),
+w AS (SELECT DISTINCT doc_id, lang, source, quality, unnest(list_filter(regexp_split_to_array(lower(text), '[^\pL\pN]+'), lambda x: length(x) >= 2 AND NOT regexp_full_match(x, '[0-9]+'))) AS term FROM documents JOIN q USING (doc_id) WHERE text IS NOT NULL AND quality IS NOT NULL)
+SELECT source AS subject, lang, term, count(*) FILTER (quality = 1) AS praised, count(*) FILTER (quality = 0) AS criticised FROM w GROUP BY ALL HAVING count(*) >= 3""")
+def term_sides(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many documents of either side use each term, by subject and language."""
+    words = F.array_distinct(F.filter(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"), lambda w: (F.length(w) >= 2) & ~w.rlike("^[0-9]+$")))
+    d = A.documents(spark, sf_dir).where(F.col("quality").isNotNull() & F.col("text").isNotNull())
+    c = d.select(F.col("source").alias("subject"), "lang", "quality", F.explode(words).alias("term")).groupBy("subject", "lang", "term")
+    return c.agg(F.count_if(F.col("quality") == 1).alias("praised"), F.count_if(F.col("quality") == 0).alias("criticised"), F.count(F.lit(1)).alias("n")).where("n >= 3").drop("n")
+
+
 @register("search_forms", "WITH " + _FOUND + " SELECT form, count(*) AS n FROM h GROUP BY form ORDER BY n DESC, form LIMIT 12")
 def search_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The twelve commonest forms of a phrase."""
