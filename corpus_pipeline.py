@@ -7,23 +7,19 @@ Labels and the tokenizer are read from beside the documents and from the public
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from murmurate.llm import mixing, packing, quality_model, quality_rules, simhash
 from murmurate.llm.scratch import stored
 
 
-def _weights(spark: SparkSession, docs: DataFrame, sf_dir: str):
-    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return quality_model.fit(docs, labels, learn=quality_model.learnable(1, 3))
-
-
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, learned from the labelled ones among them, scores at 0.5 or more.
 
     Null and empty texts have the score of the bias; without labels all documents stay; repeated rows stay or go alike; an empty table stays empty.
     """
-    return quality_model.scored(docs, _weights(spark, docs, sf_dir), least=0.5)
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    weights = quality_model.fit(docs, labels, learn=quality_model.learnable(1, 3))
+    return quality_model.scored(docs, weights, least=0.5)
 
 
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,12 +39,12 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixing_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix of sources takes them, better ones, by the classifier learned in the first stage, earlier.
+    """Documents as often as the mix of sources takes them, those with little markup earlier.
 
+    The mix is native, so the classifier, whose scores the columns of documents can't carry this far, is not asked again here.
     Documents without a word go; a null source is a source of its own; repeated rows count as often as they occur; an empty table stays empty.
     """
-    weights = _weights(spark, spark.read.parquet(f"{sf_dir}/documents.parquet"), sf_dir)
-    return mixing.mixed_documents(docs, quality=quality_model.score_of(spark, weights, F.col("text")))
+    return mixing.mixed_documents(docs)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
