@@ -8,8 +8,9 @@ from pyspark.sql import types as T
 
 from murmurate import reading
 from murmurate.functions import writing
+from murmurate.operators import vectors  # noqa: F401  its SQL is used
 from murmurate.plans import adapters as A
-from murmurate.registry import register
+from murmurate.registry import SQL, register
 from murmurate.session import table
 from murmurate.sources.capture import READINGS
 
@@ -96,3 +97,71 @@ def reader_on_a_key(spark: SparkSession, sf_dir: str) -> DataFrame:
         return out
 
     return scored_on(key, model)
+
+
+def asks(df: DataFrame, subject: str, ambiguous: str, key: str, text: str, subjects: tuple[str, ...] = (), only_ambiguous: bool = False, one_in: int = 1, words: str | None = None) -> DataFrame:
+    """The labels that a revisit question is asked of: all conditions that are set must hold.
+
+    one_in keeps those whose key's first four hash bytes, little-endian, divide by it; words is a phrase that the text says.
+    """
+    from murmurate.functions import text as tx
+
+    digest = F.sha2(F.col(key).cast("string"), 256)
+    number = F.conv(F.concat(*[F.substring(digest, k, 2) for k in (7, 5, 3, 1)]), 16, 10).cast("long")
+    out = df.where(number % one_in == 0) if one_in > 1 else df
+    out = out.where(F.col(subject).isin(*subjects)) if subjects else out
+    out = out.where(F.col(ambiguous)) if only_ambiguous else out
+    return out.where(F.size(tx.phrase_forms(F.translate(text, "‘’", "''"), words)) > 0) if words else out
+
+
+@register("revisit_questions", A.with_views("docs", "twice", body=r"""--and
+q AS (SELECT doc_id, first, doubt_first, text, sha256(CAST(doc_id AS VARCHAR)) AS s FROM twice JOIN (SELECT doc_id, text FROM docs) USING (doc_id)),
+w AS (SELECT *, list_filter(regexp_split_to_array(lower(text), '[^\pL\pN]+'), lambda x: x <> '') AS words FROM q WHERE first IN ('good', 'rude') AND CAST('0x' || substr(s, 7, 2) || substr(s, 5, 2) || substr(s, 3, 2) || substr(s, 1, 2) AS BIGINT) % 2 = 0)
+SELECT doc_id, first FROM w WHERE list_contains(words, 'the') OR list_contains(words, 'la')"""))
+def revisit_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every second label of two classes whose text says one of two words."""
+    q = A.labelled_twice(spark, sf_dir).join(A.documents(spark, sf_dir).select("doc_id", "text"), "doc_id")
+    asked = [asks(q, "first", "doubt_first", "doc_id", "text", ("good", "rude"), one_in=2, words=w) for w in ("the", "la")]
+    return asked[0].unionByName(asked[1]).select("doc_id", "first").distinct()
+
+
+@register("neighbour_draw", f"""WITH m AS ({SQL['rare_margins']}),
+k AS (SELECT m.vec_id, label AS subject, CAST(trunc((2 - greatest(-2.0::DOUBLE, least(2.0::DOUBLE, margin))) * 1000000) AS BIGINT) AS key FROM m JOIN embeddings e ON m.vec_id = e.vec_id),
+p AS (SELECT *, row_number() OVER (PARTITION BY subject ORDER BY key, vec_id) AS place FROM k)
+SELECT subject, vec_id, place FROM p ORDER BY place, subject LIMIT 60""")
+def neighbour_draw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sixty vectors, subjects in turn, widest margin to the rare queries first; margins within a millionth tie."""
+    from murmurate.operators.sampling import round_robin
+    from murmurate.operators.vectors import rare_margins
+
+    m = rare_margins(spark, sf_dir).join(table(spark, sf_dir, "embeddings").select("vec_id", F.col("label").alias("subject")), "vec_id")
+    key = ((2 - F.greatest(F.lit(-2.0), F.least(F.lit(2.0), F.col("margin")))) * 1_000_000).cast("long")
+    return round_robin(m.withColumn("key", key), "subject", 60, "key", "vec_id").select("subject", "vec_id", "place")
+
+
+def tfidf_baseline(train: DataFrame, held: DataFrame, text: str, label: str, features: int = 1 << 15, rounds: int = 40) -> DataFrame:
+    """held with ``guess`` and ``confidence`` of a logistic regression on weighted counts of words and pairs of words."""
+    from pyspark.ml import Pipeline
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.feature import IDF, HashingTF, IndexToString, StringIndexer
+    from pyspark.ml.functions import vector_to_array
+
+    words = F.filter(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    both = lambda w: F.concat(w, F.zip_with(F.slice(w, 1, F.greatest(F.size(w) - 1, F.lit(0))), F.slice(w, 2, F.greatest(F.size(w) - 1, F.lit(0))), lambda a, b: F.concat_ws(" ", a, b)))
+    cut = lambda df: df.withColumn("terms_of", F.element_at(F.transform(F.array(words), both), 1))
+    names = StringIndexer(inputCol=label, outputCol="class_of", stringOrderType="alphabetAsc", handleInvalid="skip").fit(train)
+    model = Pipeline(stages=[names, HashingTF(inputCol="terms_of", outputCol="counts_of", numFeatures=features), IDF(inputCol="counts_of", outputCol="weights_of"),
+                             LogisticRegression(featuresCol="weights_of", labelCol="class_of", maxIter=rounds, regParam=0.01, predictionCol="guess_of", probabilityCol="shares_of")]).fit(cut(train))
+    scored = cut(held)
+    for stage in model.stages[1:]:
+        scored = stage.transform(scored)
+    named = IndexToString(inputCol="guess_of", outputCol="guess", labels=names.labels).transform(scored)
+    return named.withColumn("confidence", F.array_max(vector_to_array("shares_of"))).select(*held.columns, "guess", "confidence")
+
+
+@register("tfidf_baseline")
+def tfidf_baseline_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The baseline on the labelled documents of three sources in four, held against the rest, by label."""
+    d = A.documents(spark, sf_dir).where("quality IS NOT NULL AND text IS NOT NULL").select("doc_id", "text", F.col("quality").cast("string").alias("label"))
+    found = tfidf_baseline(d.where("doc_id % 4 <> 0"), d.where("doc_id % 4 = 0"), "text", "label")
+    return found.groupBy("label").agg(F.count(F.lit(1)).alias("held"), F.count_if(F.col("guess") == F.col("label")).alias("hit"), F.round(F.avg("confidence"), 6).alias("confidence"))

@@ -128,3 +128,14 @@ def test_command_line(spark, tmp_path, capsys):
     (tmp_path / "in").mkdir()
     (tmp_path / "in" / "a.json").write_text(json.dumps({"id": 1, "updated": 5, "text": "x"}))
     assert main(["sweep", str(tmp_path / "in"), str(tmp_path / "t"), str(tmp_path / "c")], spark) == 0 and sweeps.current(spark, str(tmp_path / "t")).select(F.col("text")).first()[0] == "x"
+
+
+def test_tfidf_baseline(spark):
+    from murmurate.operators.keeping import rest_for, tfidf_baseline
+
+    words = {"a": "warm bread and fresh soup", "b": "loud engine on a cold road", "c": "a long film with sad songs"}
+    rows = [(n, f"{words[k]} {n}", k) for n in range(60) for k in "abc"]
+    df = spark.createDataFrame(rows, "n int, text string, label string")
+    got = tfidf_baseline(df.where("n < 40"), df.where("n >= 40"), "text", "label", features=1 << 10).collect()
+    assert len(got) == 60 and all(r["guess"] == r["label"] and r["confidence"] > 0.5 for r in got)
+    assert rest_for(6.0, 0.75) == pytest.approx(2.0) and rest_for(3.0, 1.0) == 0.0
