@@ -29,6 +29,8 @@ from .words import own_name, text_or_empty, word_count
 WEIGHTS = (1, 2, 3)
 CAP = 3
 RANGE_ROWS = 20_000
+#: Ranges an octave of keys has at least.
+LEAST_RANGES = 64
 LEAST_QUALITY = 1e-9
 #: Copies of one row that are made together.
 CHUNK = 1000
@@ -87,7 +89,7 @@ def _entries(docs: DataFrame, doc_id: str, text: str, source: str, weights: tupl
     df = df.select("doc_id", "source", "size", "mark", (-F.ln(uniform(name, seed)) / better).alias("key"))
     rows = stored(df.groupBy("doc_id", "source", "size", "mark", "key").agg(F.count(F.lit(1)).alias("rows")), "mix-sizes")
     # An octave of keys holds at most 0.4 of a source's entries, whatever their weights.
-    octave = max(8, -(-rows.count() * 2 // (5 * range_rows)))
+    octave = max(LEAST_RANGES, -(-rows.count() * 2 // (5 * range_rows)))
     rows = rows.withColumn("range", F.floor(F.log2("key") * octave))
 
     targets = source_targets(rows.select("source", (F.col("size") * F.col("rows")).alias("size")), weights, cap)
