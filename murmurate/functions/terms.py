@@ -9,10 +9,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Words that say nothing alone; a small English default, and a parameter wherever it is used.
-FILLER = frozenset(
-    "a am an and any are as at be been but by can could did do does for from game games get got had has have he her his how i i'm i've if in into is it it's its just me my of one or our out she so some than that that's the "
-    "their them then there these they they're this to up us was we were what when which who will with would you you're your".split())
+#: Words that say nothing alone, and words of degree and time that say little; an English default, and a parameter wherever it is used.
+FILLER = frozenset((
+    *"a am an and any are as at be been but by can could did do does for from game games get got had has have he her his how i i'm i've if in into is it it's its just me my of one or our out she so some than that that's the".split(),
+    *"their them then there these they they're this to up us was we were what when which who will with would you you're your".split(),
+    *"very really quite pretty even much many most all each every both few such own other another same thing things also like lot lots bit way because while though although since until before after again down back now ever yet far".split()))
 # Words that turn what follows, by language (English, German, Russian and Ukrainian, Spanish and Portuguese, French, Italian, Polish and Czech,
 # Turkish, Korean), the characters that do so in Chinese, and what Korean writes on the end of a word, particles and endings, longest first.
 MODIFIERS = frozenset((
