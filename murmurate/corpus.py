@@ -126,7 +126,8 @@ class Corpus:
         if term is not None:
             rows = rows.where(F.size(tx.phrase_forms(F.col("claim"), term)) > 0)
         total = rows.agg(F.count(F.lit(1)).alias("total"))
-        return page(rows.drop("text"), start, count, "review", "ord").join(F.broadcast(total))
+        # Ids that are numbers written as text stand in the order of the numbers.
+        return page(rows.drop("text"), start, count, F.col("review").try_cast("decimal(38,0)").asc_nulls_last(), "review", "ord").join(F.broadcast(total))
 
     def search(self, query: str) -> DataFrame:
         """Claims that say a phrase, with its forms: reviews are tested first, then their claims."""

@@ -57,6 +57,18 @@ def test_pages_and_search(corpus):
     assert corpus.shortlist().count() == 7 and corpus.months().count() == 3
 
 
+def test_pages_follow_numbers(spark):
+    ids = ["9", "10", "100", "-3", "b", "98765432109876543210", "2"]
+    reviews = spark.createDataFrame([(i, "said the thing", "english", 0.5) for i in ids], "review string, text string, language string, helpfulness double")
+    claims = spark.createDataFrame([(i, o, 0, 14, "s", "praise", 0.5, None) for i in ids for o in (1, 0)], "review string, ord int, start long, end long, subject string, polarity string, confidence double, also map<string,string>")
+    given, numbered = Corpus(reviews, claims), [-3, 2, 9, 10, 100]
+    at = lambda c, start, count: [(r["review"], r["ord"]) for r in c.claims_behind("s", term="the", start=start, count=count).collect()]
+    assert at(given, 0, 6) == [("-3", 0), ("-3", 1), ("2", 0), ("2", 1), ("9", 0), ("9", 1)]
+    assert at(given, 6, 25) == [("10", 0), ("10", 1), ("100", 0), ("100", 1), (ids[5], 0), (ids[5], 1), ("b", 0), ("b", 1)]
+    some = [r.where(F.col("review").rlike("^-?[0-9]{1,3}$")).withColumn("review", F.col("review").cast("long")) for r in (reviews, claims)]
+    assert at(Corpus(*some), 0, 25) == [(i, o) for i in numbered for o in (0, 1)]
+
+
 def test_comparisons(corpus, spark):
     assert {r["subject"]: (r["raised"], r["raised_other"]) for r in corpus.compare("steam-deck").collect()} == {"audio": (1, 1), "atmosphere": (1, 1), "controls": (1, 2)}
     with pytest.raises(ValueError, match="same split"):
