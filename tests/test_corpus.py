@@ -5,9 +5,12 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
-from murmurate import reading
+from murmurate import reading, registry
 from murmurate.corpus import Corpus, search_by_meaning
 from murmurate.sources import capture
+from tests.oracle import compare, connect
+
+registry.load()
 
 TEXTS = {
     "1": ("english", "The music is superb in every level. The camera is awful in tight rooms."), "2": ("english", "The music is superb in every level. The camera is awful in tight rooms."),
@@ -69,6 +72,12 @@ def test_pages_follow_numbers(spark):
     assert at(Corpus(*some), 0, 25) == [(i, o) for i in numbered for o in (0, 1)]
 
 
+def test_first_page_as_in_the_sql(spark):
+    """A larger table than the other queries are held to: there the ids differ in their number of digits."""
+    sf = "/root/testdata/sf0.01"
+    compare(spark, connect(sf), sf, registry.QUERIES["corpus_behind_a_term"], registry.SQL["corpus_behind_a_term"])
+
+
 def test_comparisons(corpus, spark):
     assert {r["subject"]: (r["raised"], r["raised_other"]) for r in corpus.compare("steam-deck").collect()} == {"audio": (1, 1), "atmosphere": (1, 1), "controls": (1, 2)}
     with pytest.raises(ValueError, match="same split"):
