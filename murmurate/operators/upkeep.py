@@ -12,6 +12,10 @@ from murmurate.plans import adapters as A
 from murmurate.registry import register
 from murmurate.session import table
 
+MARK = "♥"
+#: So many first characters of a marked text find the texts that it can be.
+HEAD = 6
+
 
 @register("censored_match", """
 WITH k AS (SELECT p_partkey AS id, p_name AS words, p_brand AS brand FROM part), l AS (SELECT id, brand, regexp_replace(words, '[aeiou]', '♥', 'g') AS marked FROM k WHERE id % 5 = 0),
@@ -19,13 +23,29 @@ j AS (SELECT l.id, k.id AS hit FROM l JOIN k ON k.brand = l.brand AND length(k.w
 SELECT id, CASE WHEN count(hit) = 1 THEN min(hit) END AS matched, count(hit) AS hits FROM l LEFT JOIN j USING (id) GROUP BY id""")
 def censored_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The one text of a group whose words are a marked one's, each mark standing for any character; null for none or several."""
-    k = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("hit"), F.col("p_name").alias("words"), F.col("p_brand").alias("brand"))
-    marked = k.where("hit % 5 = 0").select(F.col("hit").alias("id"), "brand", F.regexp_replace("words", "[aeiou]", "♥").alias("marked"))
-    same = F.forall(F.zip_with(F.split("marked", ""), F.split("words", ""), lambda a, b: (a == b) | (a == "♥")), lambda x: F.coalesce(x, F.lit(False)))
-    # By group and length, so that no group's texts all meet.
-    met = marked.withColumn("size", F.length("marked")).join(k.withColumn("size", F.length("words")), ["brand", "size"]).where(same)
-    found = met.groupBy("id").agg(F.min("hit").alias("first"), F.count("hit").alias("hits"))
-    return marked.join(found, "id", "left").select("id", F.when(F.col("hits") == 1, F.col("first")).alias("matched"), F.coalesce("hits", F.lit(0)).alias("hits"))
+    k = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("words"), F.col("p_brand").alias("brand"))
+    marked = k.where("id % 5 = 0").select("id", "brand", F.regexp_replace("words", "[aeiou]", MARK).alias("marked"))
+    found = marked_hits(marked.select("brand", "marked"), k, "brand")
+    # Once more by id: the SQL joins by it, so that an id with several rows has the hits of all of them for each.
+    each = marked.join(found, ["brand", "marked"], "left").groupBy("id").agg(F.min("first").alias("first"), (F.coalesce(F.sum("hits"), F.lit(0)) * F.count(F.lit(1))).alias("hits"))
+    return each.select("id", F.when(F.col("hits") == 1, F.col("first")).alias("matched"), "hits")
+
+
+def marked_hits(marked: DataFrame, texts: DataFrame, by: str, head: int = HEAD) -> DataFrame:
+    """Of every different (group, marked) that fits a text of its group: the smallest id and how many texts (id, words) it fits.
+
+    A mark stands for any character but a line break. Equal texts meet as one. They meet on size and on their first
+    characters with the marks put in, once for each way these are marked in their group and size: at most 2^head ways.
+    """
+    at = lambda c, n: F.substring(c, n, 1)
+    shape = F.concat(*[F.when(at("marked", n) == MARK, "1").otherwise("0") for n in range(1, head + 1)])
+    wanted = marked.distinct().select(by, "marked", F.length("marked").alias("size"), shape.alias("shape"), F.substring("marked", 1, head).alias("key"))
+    distinct = texts.groupBy(by, "words").agg(F.min("id").alias("first"), F.count("id").alias("n")).withColumn("size", F.length("words"))
+    put_in = F.concat(*[F.when(at("shape", n) == "1", MARK).otherwise(at("words", n)) for n in range(1, head + 1)])
+    shaped = distinct.join(wanted.select(by, "size", "shape").distinct(), [by, "size"]).withColumn("key", put_in)
+    same = F.forall(F.zip_with(F.split("marked", ""), F.split("words", ""), lambda a, b: (a == b) | ((a == MARK) & (b != "\n"))), lambda x: F.coalesce(x, F.lit(False)))
+    met = wanted.join(shaped, [by, "size", "shape", "key"]).where(same)
+    return met.groupBy(by, "marked").agg(F.min("first").alias("first"), F.sum("n").alias("hits"))
 
 
 @register("vectors_of_named", """
