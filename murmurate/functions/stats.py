@@ -19,6 +19,24 @@ def ratio_or_zero(part: Column, whole: Column) -> Column:
     return F.when(whole > 0, part / whole).otherwise(F.lit(0.0))
 
 
+def floor_of_sum(value: Column) -> Column:
+    """The floor of a sum of doubles just as they are stored, the same in whatever order rows come; null for no values.
+
+    A sum of doubles may round across a whole number. Here each is cut into whole numbers of 1, 2^-52 and 2^-104, whose
+    sums are exact; only what values under 2^-51 have beyond that is added as doubles.
+    """
+    step, rest, sums = 1 << 52, value.cast("double"), []
+    for _ in range(3):
+        part = rest.cast("long")
+        sums.append(F.sum(part.cast("decimal(20,0)")))
+        rest = (rest - part) * float(step)
+    over = F.floor(F.sum(rest) / float(step)).cast("decimal(30,0)")
+    for total in (sums[2], sums[1]):
+        total = total + over
+        over = ((total - F.pmod(total, F.lit(step))) / step).cast("decimal(30,0)")
+    return (sums[0] + over).cast("long")
+
+
 def wilson(part: Column, whole: Column, z: float = Z) -> tuple[Column, Column]:
     """Both ends of the Wilson interval, within 0 and 1; null for no trials."""
     n, p = whole.cast("double"), part / whole

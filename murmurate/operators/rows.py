@@ -177,7 +177,7 @@ g AS (SELECT game, language, count(*) AS n, CAST(floor(sum(helpfulness)) AS BIGI
 SELECT game, language, format('{:,}', total) AS shown, CASE WHEN k = 0 THEN '0%' WHEN k = 1000 THEN '100%' WHEN k BETWEEN 100 AND 900 THEN (k * 10 + 50) // 100 || '%' WHEN k % 10 = 0 THEN k // 10 || '%' ELSE k // 10 || '.' || k % 10 || '%' END AS share FROM s"""))
 def figures_shown(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts with separators, and thousandths as people read shares."""
-    g = A.reviews(spark, sf_dir).groupBy("game", "language").agg(F.count(F.lit(1)).alias("n"), F.floor(F.sum("helpfulness")).cast("long").alias("total"))
+    g = A.reviews(spark, sf_dir).groupBy("game", "language").agg(F.count(F.lit(1)).alias("n"), stats.floor_of_sum(F.col("helpfulness")).alias("total"))
     return g.select("game", "language", fmt.thousands(F.col("total")).alias("shown"), fmt.percent((F.col("n") % 1001) / 1000).alias("share"))
 
 
