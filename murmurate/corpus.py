@@ -32,7 +32,8 @@ class Corpus:
         reviews = rows.select(F.col("recommendationid").alias("review"), "created", "language", "voted_up", "helpfulness", F.col("played_minutes").alias("played"),
                               F.col("primarily_steam_deck").alias("deck"), F.col("written_during_early_access").alias("early"), F.col("received_for_free").alias("free"), "author", F.col("review").alias("text"))
         found = capture.readings(spark, readings)
-        place = F.row_number().over(W.partitionBy("recommendationid").orderBy("start", "end")) - 1
+        # Readings of one span, as copies of a review have, are in one place.
+        place = F.dense_rank().over(W.partitionBy("recommendationid").orderBy("start", "end")) - 1
         claims = found.select(F.col("recommendationid").alias("review"), place.alias("ord"), "start", "end", "subject", "polarity", F.col("confidence").cast("double").alias("confidence"), F.col("also_map").alias("also"))
         return cls(reviews, claims.join(reviews.select("review"), "review", "left_semi"))
 
@@ -48,10 +49,14 @@ class Corpus:
     @cached_property
     def named(self) -> DataFrame:
         """Every (claim, subject it names): the first one and those beside it."""
+        return self.named_with()
+
+    def named_with(self, *more: str) -> DataFrame:
+        """The same with more columns of the claim."""
         own = F.array(F.struct(F.col("subject").alias("s"), F.col("polarity").alias("p")))
         beside = F.transform(F.map_entries(F.coalesce("also", F.create_map().cast("map<string,string>"))), lambda e: F.struct(e["key"].alias("s"), e["value"].alias("p")))
-        rows = self.claims.select("review", "ord", F.explode(F.filter(F.concat(own, beside), lambda x: x["s"].isNotNull())).alias("x"))
-        return rows.select("review", "ord", F.col("x.s").alias("subject"), F.col("x.p").alias("polarity"))
+        rows = self.claims.select("review", "ord", *more, F.explode(F.filter(F.concat(own, beside), lambda x: x["s"].isNotNull())).alias("x"))
+        return rows.select("review", "ord", F.col("x.s").alias("subject"), F.col("x.p").alias("polarity"), *more)
 
     @cached_property
     def sides(self) -> DataFrame:
@@ -117,11 +122,10 @@ class Corpus:
 
     def claims_behind(self, subject: str, side: str | None = None, term: str | None = None, kind: str | None = None, start: int = 0, count: int = 25) -> DataFrame:
         """A page of the claims behind a figure, in the order of reviews, with their words and the total of all pages."""
-        found = self.named.where(F.col("subject") == subject)
+        found = self.named_with("start", "end", "confidence").where(F.col("subject") == subject)
         found = found if side is None else found.where(F.col("polarity") == side)
         reviews = self.reviews if kind is None else self.reviews.where(F.array_contains(rollups.kinds_of(), kind))
-        spans = self.claims.select("review", "ord", "start", "end", "confidence")
-        rows = found.join(spans, ["review", "ord"]).join(reviews.select("review", "text", "language", "helpfulness"), "review")
+        rows = found.join(reviews.select("review", "text", "language", "helpfulness"), "review")
         rows = rows.withColumn("claim", tx.byte_slice(F.col("text"), F.col("start"), F.col("end"))).where(F.col("claim").isNotNull())
         if term is not None:
             rows = rows.where(F.size(tx.phrase_forms(F.col("claim"), term)) > 0)
@@ -146,7 +150,7 @@ class Corpus:
 
     def export(self, folder: str) -> None:
         """Subjects, months and points as files for people, in a new folder."""
-        points = self.named.join(self.claims.select("review", "ord", "start", "end", "confidence"), ["review", "ord"])
+        points = self.named_with("start", "end", "confidence")
         files.export({"subjects": self.subjects(), "months": self.months(), "points": points}, folder, "subjects: a row a subject. months: a row a month and subject. points: a row a claim and subject.\n")
 
 

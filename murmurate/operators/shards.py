@@ -43,11 +43,14 @@ def _copies(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def written(spark: SparkSession, sf_dir: str) -> str:
-    """A library with an older, empty snapshot and one with a crawl and a sweep; returns its root."""
+    """A library with an older, empty snapshot and one with a crawl and a sweep; returns its root.
+
+    Documents without an id are copies of the crawl whose id is empty.
+    """
     root = fresh(spark, "library")
-    copies, number = _copies(spark, sf_dir), F.col("recommendationid").cast("long")
+    copies, number = _copies(spark, sf_dir), F.col("recommendationid").try_cast("long")
     write_copies(copies.limit(0), f"{root}/appid=7/snapshot=300", "other")
-    write_copies(copies.where(number % 10 < 9), f"{root}/appid=7/snapshot=200", "shard")
+    write_copies(copies.where(F.coalesce(number % 10 < 9, F.lit(True))), f"{root}/appid=7/snapshot=200", "shard")
     swept = copies.where(number % 10 >= 7).withColumn("review", F.concat(F.lit("edited "), "review")).withColumn("timestamp_updated", F.col("timestamp_updated") + 5)
     write_copies(swept, f"{root}/appid=7/snapshot=200", f"sweep-{SWEEP}")
     return root

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -78,6 +79,26 @@ def test_first_page_as_in_the_sql(spark):
     compare(spark, connect(sf), sf, registry.QUERIES["corpus_behind_a_term"], registry.SQL["corpus_behind_a_term"])
 
 
+@pytest.mark.parametrize("more", ["doc_id", "CAST(NULL AS BIGINT)"], ids=["repeated", "without an id"])
+def test_first_page_of_odd_ids(spark, tmp_path, more):
+    con = duckdb.connect()
+    con.sql(f"CREATE TABLE documents AS SELECT * REPLACE ({more} AS doc_id) FROM '/root/testdata/sf0.001/documents.parquet' UNION ALL FROM '/root/testdata/sf0.001/documents.parquet'")
+    con.sql(f"COPY documents TO '{tmp_path}/documents.parquet'")
+    compare(spark, con, str(tmp_path), registry.QUERIES["corpus_behind_a_term"], registry.SQL["corpus_behind_a_term"])
+
+
+def test_readings_of_one_span_share_a_place(spark, tmp_path):
+    row = dict.fromkeys(f.name for f in capture.CAPTURE.fields) | {"recommendationid": "1", "appid": 7, "review": "said the thing", "raw_json": "{}"}
+    spark.createDataFrame([row], capture.CAPTURE).coalesce(1).write.parquet(str(tmp_path / "part"))
+    next((tmp_path / "part").glob("*.parquet")).rename(tmp_path / "shard-0.parquet")
+    spans = [("1", 0, 8, "s", 0.5, "praise", None, None), ("1", 0, 8, "s", 0.5, "praise", None, None), ("1", 9, 14, "s", 0.5, "praise", None, None)]
+    spark.createDataFrame(spans, capture.READINGS).write.parquet(str(tmp_path / "readings"))
+    c = Corpus.from_capture(spark, str(tmp_path), str(tmp_path / "readings"))
+    assert [(r["ord"], r["claim"], r["total"]) for r in c.claims_behind("s").collect()] == [(0, "said the", 3), (0, "said the", 3), (1, "thing", 3)]
+    c.export(f"file://{tmp_path}/out")
+    assert len((tmp_path / "out" / "points.csv").read_text().splitlines()) == 4
+
+
 def test_comparisons(corpus, spark):
     assert {r["subject"]: (r["raised"], r["raised_other"]) for r in corpus.compare("steam-deck").collect()} == {"audio": (1, 1), "atmosphere": (1, 1), "controls": (1, 2)}
     with pytest.raises(ValueError, match="same split"):
