@@ -4,7 +4,7 @@ Lines are normalised and hashed; a line that more than ``max_documents`` distinc
 taken out of them, and a document that keeps less than ``least_kept`` of its words is rejected as depleted.
 Distinct documents are distinct texts: equal texts of a host count once, whatever else they share.
 
-Scale: the text is read once; its counts and line hashes are written to the shared folder. All else moves rows of
+Scale: the text is read once, few rows at a time; its counts and line hashes are written to the shared folder. All else moves rows of
 hashes: line counts are summed on the map side, so a line that a third of all documents hold is no hot task, and
 only lines above the limit are joined. Both sides of each join are written or scanned, never a bare aggregate, so a
 hot line or text can be split. DataFrame functions only.
@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import stored
+from .scratch import small_batches, stored
 from .words import GAPS, WORD, ascii_lower, md5_long, own_name, text_or_empty
 
 MAX_DOCUMENTS = 20
@@ -29,31 +29,36 @@ MOST_REPEATED = 50
 SHORT_BITS, LONG_BITS = 20, 31
 
 
+def _lowered(text: Column) -> Column:
+    """ascii_lower; a text of one byte a letter is lowered whole, where translate makes an object a letter."""
+    return F.when(F.length(text) == F.octet_length(text), F.lower(text)).otherwise(ascii_lower(text))
+
+
 def normalised_line(line: Column) -> Column:
     """A line in lower case with single spaces and every number as 0."""
-    return F.regexp_replace(F.trim(F.regexp_replace(ascii_lower(line), GAPS, " ")), "[0-9]+", "0")
+    return F.regexp_replace(F.trim(F.regexp_replace(_lowered(line), GAPS, " ")), "[0-9]+", "0")
 
 
 def normalised_lines(text: Column) -> Column:
     """All lines of a text that hold a word, each as ``normalised_line`` gives it, in passes over the whole text."""
-    spaced = F.regexp_replace(ascii_lower(text), r"[\x20\x09\x0B-\x0D]+", " ")
+    spaced = F.regexp_replace(_lowered(text), r"[\x20\x09\x0B-\x0D]+", " ")
     return F.array_remove(F.transform(F.split(F.regexp_replace(spaced, "[0-9]+", "0"), "\n"), lambda x: F.trim(x)), "")
 
 
-def _windows(words: Column, n: Column) -> Column:
-    """The hash of every run of three words."""
-    count = F.greatest(n.cast("int") - 2, F.lit(0))
-    return F.transform(F.arrays_zip(*[F.slice(words, k, count) for k in (1, 2, 3)]), lambda z: F.xxhash64(z))
+def _windows(hashed: Column) -> Column:
+    """The hash of every run of three words, from the words' hashes: longs, where slices of words are objects by the thousand."""
+    count = F.greatest(F.size(hashed) - 2, F.lit(0))
+    return F.transform(F.slice(hashed, 1, count), lambda x, i: F.xxhash64(x, F.get(hashed, i + 1), F.get(hashed, i + 2)))
 
 
 def _repeated(df: DataFrame) -> DataFrame:
-    """Adds n_repeat_words to (words, n_words), taking words away.
+    """Adds n_repeat_words to (hashed_words, n_words), taking the words' hashes away.
 
     Texts whose windows are all distinct, which are most, end there. In others window hashes are cut short to carry their place in
     the same long, so one primitive sort brings equal windows together; the places found are then held against the whole 64 bits.
     Linear passes and a sort, for any length.
     """
-    df = df.withColumn("hashes", _windows(F.col("words"), F.col("n_words"))).drop("words")
+    df = df.withColumn("hashes", _windows(F.col("hashed_words"))).drop("hashed_words")
     n, hashes = F.col("n_words"), F.col("hashes")
     df = df.withColumn("some", F.size(F.array_distinct(hashes)) < F.size(hashes))
     df = df.withColumn("bits", F.when(n < (1 << SHORT_BITS), F.lit(SHORT_BITS)).otherwise(F.lit(LONG_BITS)))
@@ -90,13 +95,13 @@ def _measured(docs: DataFrame, doc_id: str, text: str, host: str) -> DataFrame:
     raw = F.filter(F.split(t, "\n"), lambda x: x.rlike(WORD))
     df = df.select(
         "doc_id", "host", md5_long(t).alias("text_hash"),
-        F.length(F.regexp_replace(t, GAPS, "")).cast("long").alias("word_chars"),
         F.length(F.regexp_replace(t, r"[^#*$%&|<>]+", "")).cast("long").alias("n_symbols"),
         raw.alias("raw"), normalised_lines(t).alias("lines"), F.array_remove(F.split(t, GAPS), "").alias("words"))
     hashed = F.sort_array(F.transform(
         F.col("lines"), lambda x: F.struct(md5_long(x).alias("h"), (F.length(x) - F.length(F.replace(x, F.lit(" "), F.lit(""))) + 1).alias("w"))))
     df = df.select(
-        "doc_id", "host", "text_hash", "word_chars", "n_symbols", F.size("words").cast("long").alias("n_words"), "words",
+        "doc_id", "host", "text_hash", F.length(F.concat_ws("", "words")).cast("long").alias("word_chars"), "n_symbols",
+        F.size("words").cast("long").alias("n_words"), F.transform("words", lambda w: F.xxhash64(w)).alias("hashed_words"),
         (F.size("raw") - F.size(F.array_distinct("raw"))).cast("long").alias("n_dup_lines"), hashed.alias("hashed"))
     df = _repeated(df)
     df = df.withColumn("starts", _line_runs(F.col("hashed")))
@@ -106,6 +111,11 @@ def _measured(docs: DataFrame, doc_id: str, text: str, host: str) -> DataFrame:
     return df.select("doc_id", "host", "text_hash", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", runs.alias("lines"))
 
 
+def _stored_measures(docs: DataFrame, doc_id: str, text: str, host: str) -> DataFrame:
+    with small_batches(docs.sparkSession):
+        return stored(_measured(docs, doc_id, text, host), "quality-measured")
+
+
 def frequent_lines(measured: DataFrame, max_documents: int) -> DataFrame:
     """(host, text_hash, removed_words, removed): of each distinct text, the words and hashes of its lines above the limit."""
     held = measured.select("host", "text_hash", F.explode("lines").alias("line")).select("host", "text_hash", F.col("line.h").alias("h"), F.col("line.w").alias("w"))
@@ -120,7 +130,7 @@ def frequent_lines(measured: DataFrame, max_documents: int) -> DataFrame:
 def judged(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", host: str = "source",
            max_documents: int = MAX_DOCUMENTS, least_kept: float = LEAST_KEPT) -> DataFrame:
     """Each document's counts, removed_words, base_failed, depleted and kept."""
-    measured = stored(_measured(docs, doc_id, text, host), "quality-measured")
+    measured = _stored_measures(docs, doc_id, text, host)
     removed = frequent_lines(measured, max_documents).drop("removed")
     df = measured.drop("lines").join(removed, ["host", "text_hash"], "left")
     df = df.withColumn("removed_words", F.coalesce("removed_words", F.lit(0).cast("long")))
@@ -143,7 +153,7 @@ def cleaned_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
                       max_documents: int = MAX_DOCUMENTS) -> DataFrame:
     """docs with the lines above the limit taken out of their texts; rows and other columns stay."""
     at, hashed, gone = (own_name(docs.columns, n) for n in ("line_host", "line_text", "line_gone"))
-    lines = frequent_lines(stored(_measured(docs, doc_id, text, host), "quality-measured"), max_documents).select(
+    lines = frequent_lines(_stored_measures(docs, doc_id, text, host), max_documents).select(
         F.col("host").alias(at), F.col("text_hash").alias(hashed), F.col("removed").alias(gone))
     own_host = F.coalesce(F.concat(F.lit("="), docs[host]), F.lit(""))
     joined = docs.join(lines, (own_host == F.col(at)) & (md5_long(text_or_empty(docs[text])) == F.col(hashed)), "left")

@@ -8,8 +8,10 @@ Tables are left until the driver's process ends, since a returned DataFrame may
 from __future__ import annotations
 
 import atexit
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -44,6 +46,21 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Spark's setting for the rows that a task decodes at once from Parquet; 4096 unless it is set.
+BATCH_ROWS = "spark.sql.parquet.columnarReaderBatchSize"
+
+
+@contextlib.contextmanager
+def small_batches(spark: SparkSession, rows: int = 256) -> Iterator[None]:
+    """What is written inside reads Parquet by so few rows, as a batch of whole texts lies in the executor's memory in one piece."""
+    before = spark.conf.get(BATCH_ROWS)
+    spark.conf.set(BATCH_ROWS, min(rows, int(before)))
+    try:
+        yield
+    finally:
+        spark.conf.set(BATCH_ROWS, before)
+
+
 @atexit.register
 def _remove() -> None:
     for spark, path in _WRITTEN:

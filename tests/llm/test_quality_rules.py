@@ -5,7 +5,9 @@ from __future__ import annotations
 import re
 from collections import Counter
 
-from murmurate.llm import quality_rules
+from pyspark.sql import functions as F
+
+from murmurate.llm import quality_rules, scratch
 
 SCHEMA = "doc_id long, text string, source string, kept string, host string"
 
@@ -96,3 +98,24 @@ def test_lines_are_taken_out(spark):
     df = spark.createDataFrame([(i, f"{prose(i)}\nAll Rights reserved 20{i:02d}\nend {letters(i)}", "h", "x", "y") for i in range(30)], SCHEMA)
     got = {r["doc_id"]: r["text"] for r in quality_rules.cleaned_documents(df).collect()}
     assert got == {i: f"{prose(i)}\nend {letters(i)}" for i in range(30)}
+
+
+def test_whole_texts_are_read_in_small_batches(spark, tmp_path, monkeypatch):
+    before, seen = spark.conf.get(scratch.BATCH_ROWS), {}
+
+    def noted(df, name, stored=scratch.stored):
+        seen[name] = int(spark.conf.get(scratch.BATCH_ROWS))
+        return stored(df, name)
+
+    monkeypatch.setattr(quality_rules, "stored", noted)
+    spark.createDataFrame([(i, prose(i), "h", "x", "y") for i in range(600)], SCHEMA).coalesce(1).write.parquet(f"{tmp_path}/d")
+    df = spark.read.parquet(f"{tmp_path}/d")
+    assert quality_rules.judged(df).where("kept AND n_words = 60").count() == 600
+    assert seen["quality-measured"] <= 256 and spark.conf.get(scratch.BATCH_ROWS) == before
+
+
+def test_only_ascii_letters_are_lowered(spark):
+    texts = ["ABC xyz", "ÀB Éc", "İI ıi", "ΑΣ Σ", "漢字 AZ@[`{", "", None, "\U00010400A"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = {r["i"]: r["x"] for r in df.select("i", quality_rules._lowered(F.col("t")).alias("x")).collect()}
+    assert got == {i: t and re.sub("[A-Z]", lambda m: m[0].lower(), t) for i, t in enumerate(texts)}
